@@ -53,6 +53,11 @@ def drop(df: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def arrow_of(schema: str) -> pa.Schema:
+    """The Arrow form of a DDL schema; on the driver only."""
+    return to_arrow_schema(T._parse_datatype_string(schema))
+
+
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     wide = [c for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type)]
     rows = batch.num_rows
