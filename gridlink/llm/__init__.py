@@ -1,7 +1,7 @@
 """Operators of a training-data pipeline. Nothing else in the library imports this subpackage."""
 
-from gridlink.llm import packing, quality_rules, url_filters, warc
+from gridlink.llm import language_id, packing, quality_rules, toxicity, url_filters, warc
 
-_MODULES = (packing, warc, url_filters, quality_rules)
+_MODULES = (toxicity, packing, language_id, warc, url_filters, quality_rules)
 QUERIES = {name: run for m in _MODULES for name, run in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
