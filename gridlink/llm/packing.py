@@ -87,11 +87,11 @@ def id_bytes(path: str | None):
         whole = [bool(_WHOLE.search(t)) for t in texts]
         split = [[] if w else (t if _BEYOND_LATIN.search(t) else t.lower()).split() for t, w in zip(texts, whole, strict=True)]
         words = set().union(*split)
-        new = {_bare(w) for w in words - known.keys()} - known.keys()
+        new = {b for w in words if w not in known and (b := _bare(w)) not in known}
         if len(known) + len(new) > CACHED_WORDS:
             known.clear()
             known.update(known.tails)
-            new = {_bare(w) for w in words} - known.keys()
+            new = {b for w in words if (b := _bare(w)) not in known}
         learn(list(new))
         get = known.__getitem__
         return [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if w else b"".join(map(get, row)) for t, w, row in zip(texts, whole, split, strict=True)]
