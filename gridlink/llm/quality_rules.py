@@ -136,6 +136,22 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return map_columns(rows, _measurer, schema).withColumn("fail_bits", fail_bits())
 
 
+def fail_bits_of(docs: DataFrame, text_col: str = "text", columns: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+    """The given columns of docs with their measurements and fail_bits, row by row."""
+    kept = docs.select(*columns)
+    schema = kept.withColumns({m: F.lit(None).cast("long") for m in MEASURES}).schema
+    at = list(columns).index(text_col)
+
+    def make():
+        def call(*values):
+            rows = list(zip(*map(measure, values[at]), strict=True))
+            return {**dict(zip(columns, values, strict=True)), **dict(zip(MEASURES, rows, strict=True))}
+
+        return call
+
+    return map_columns(kept, make, schema).withColumn("fail_bits", fail_bits())
+
+
 def failed(policy: Policy) -> Column:
     return F.col("fail_bits").bitwiseAND(F.lit(policy.mask).cast("long")) != 0
 
