@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -53,6 +54,12 @@ def drop(df: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files of results that nothing refers to; it does so when the driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def arrow_of(schema: str) -> pa.Schema:
     """The Arrow form of a DDL schema; on the driver only."""
     return to_arrow_schema(T._parse_datatype_string(schema))

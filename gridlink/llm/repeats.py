@@ -7,8 +7,8 @@ the array is sorted), the hash of its context (all bytes of the windows it ancho
 
 Each batch is merge-scanned with the levels that exist: entries of a class that occurs once are done; entries of equal
 contexts repeat in all their windows; what is left, contexts that differ within a class, is kept for a last step that
-compares their single windows, one entry standing for all of an equal context. Then the batch becomes a level, and
-levels of equal size are merged, so each entry is rewritten a logarithmic number of times.
+compares their single windows, one entry standing for all of an equal context. Then the batch becomes a level; before the
+next batch, levels of equal size are merged, so each entry is rewritten a logarithmic number of times.
 
 Counting is by pre-aggregated group-by and plain joins, so neither a common class nor a common text lands in one task.
 
@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlink.llm.common import cut, drop, map_columns, table
+from gridlink.llm.common import cut, drop, map_columns, release, table
 
 LENGTH, GRAM, BATCHES = 200, 100, 2
 _BASE = 0x9E3779B97F4A7C15
@@ -123,26 +123,24 @@ class IndexFamily:
         self.open: list[DataFrame] = []
 
     def append(self, batch: DataFrame) -> None:
+        """Levels of equal size are merged first, so the last batch's own merge is left to the next one."""
+        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
+            (rank, one), (_, two) = self.levels.pop(), self.levels.pop()
+            self.levels.append((rank + 1, cut(one.unionByName(two).repartition("c"), "level", ["c", "f"])))
+            drop(one)
+            drop(two)
         new = cut(batch, "entries", ["c", "f"])
         rows = new
         for _, level in self.levels:
             rows = rows.unionByName(level)
-        classes = rows.groupBy("c").agg(F.count("*").alias("k"), F.min("f").alias("f1"), F.max("f").alias("f2")).where("k > 1")
-        met = cut(rows.join(classes.select("c", (F.col("f1") == F.col("f2")).alias("alike")), "c"), "met")
-        self.found.append(met.where("alike").select("t1", "t2", "lo", "n"))
-        contexts = met.where("NOT alike").groupBy("c", "f").agg(F.count("*").alias("k"), F.min(F.struct("t1", "t2", "lo", "n")).alias("one"))
-        contexts = cut(contexts, "contexts")
-        self.open.append(contexts.select("c", "one.*"))
-        again = met.where("NOT alike").join(contexts.where("k > 1").select("c", "f"), ["c", "f"], "left_semi")
-        self.found.append(again.select("t1", "t2", "lo", "n"))
-        rank = 0
-        while self.levels and self.levels[-1][0] == rank:
-            _, old = self.levels.pop()
-            merged = cut(old.unionByName(new).repartition("c"), "level", ["c", "f"])
-            drop(old)
-            drop(new)
-            new, rank = merged, rank + 1
-        self.levels.append((rank, new))
+        classes = rows.groupBy("c").agg(F.count("*").alias("k")).where("k > 1").select("c")
+        met = cut(rows.join(classes, "c"), "met")
+        contexts = cut(met.groupBy("c", "f").agg(F.count("*").alias("k"), F.min(F.struct("t1", "t2", "lo", "n")).alias("one")), "contexts")
+        mixed = contexts.groupBy("c").agg(F.count("*").alias("k")).where("k > 1").select("c")
+        self.open.append(contexts.join(mixed, "c").select("c", "one.*"))
+        self.found.append(met.join(contexts.where("k > 1").select("c", "f"), ["c", "f"]).select("t1", "t2", "lo", "n"))
+        self.levels.append((0, new))
+        release(self.spark)
 
 
 def _window_maker(length: int):
@@ -154,7 +152,7 @@ def _window_maker(length: int):
             text, c = np.repeat(rows[:, 0], many), np.repeat(rows[:, 3], many)
             at = np.repeat(rows[:, 1], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
             h = s.hashes(s.starts[text] + at, length) ^ mix(c.view(np.uint64))
-            return {"h": h.view(np.int64), "t1": np.array(t1, np.int64)[text], "t2": np.array(t2, np.int32)[text], "lo": at}
+            return {"h": h.view(np.int64), "t1": np.array(t1, np.int64)[text], "t2": np.array(t2, np.int32)[text], "lo": at.astype(np.int32)}
 
         return call
 
@@ -177,9 +175,12 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: i
     texts = docs.join(todo, ["t1", "t2"]).dropDuplicates(["t1", "t2"]).select("t1", "t2", "text", "list")
     windows = map_columns(texts, _window_maker(length), "h long, t1 long, t2 int, lo int")
     windows = cut(windows, "windows")
-    twice = windows.distinct().groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
+    twice = windows.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
     single = windows.join(twice, "h").select("t1", "t2", "lo", F.lit(1).alias("n"))
-    return found.unionByName(single).distinct()
+    found = cut(found.unionByName(single).distinct(), "found")
+    drop(windows)
+    release(docs.sparkSession)
+    return found
 
 
 def _cutter(length: int):
