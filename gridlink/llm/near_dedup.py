@@ -5,11 +5,12 @@ region's hashed darts (a Poisson number, each with a coordinate, a rank and a fi
 the region alone, so documents that share an area share its darts. A document throws ranks until every coordinate is
 hit and keeps the earliest dart of each: a signature whose agreement estimates the weighted Jaccard similarity.
 
-Joining: distinct texts alone take part. Texts that agree in a band of `rows` coordinates share a bucket; each member is
-compared with the bucket's least member only, and those that differ from it form the bucket's rest, for which the same
-is done again, until no bucket has two left. So a group of n copies costs n comparisons and none is lost. Estimates
-far from the threshold decide; those near it (more than five standard deviations aside are far) are checked on the
-texts themselves. Links are joined to classes by star steps on the cluster.
+Joining: distinct texts alone take part. Texts that agree in a band of `rows` coordinates share a bucket. Each member is
+first compared with the bucket's least member; in a group of copies that settles nearly all, at one comparison each.
+Members that are not surely like it are then compared with every member of their bucket, in blocks of bounded size
+that emit links only, so no link is lost and no bucket lands in one task. Estimates far from the threshold (more than
+five standard deviations) decide; those near it are checked on the texts, unless sure links join their ends already.
+Links become classes by star steps on the cluster.
 
 Similarity: Jaccard over sets of five-word shingles (lower case, parted at white space), 0.8 or more. A text of fewer
 than five words is one shingle. With 32 bands of 6 a pair of similarity 0.8 is missed with probability 6e-5.
@@ -24,13 +25,15 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlink.llm.common import cut, drop, map_columns, table
+from gridlink.llm.common import arrow_of, cut, drop, map_columns, table
 from gridlink.llm.components import components
 
-WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 32, 6
+#: BLOCK: rows of either side that one comparison holds, on average.
+WORDS, THRESHOLD, BANDS, ROWS, BLOCK = 5, 0.8, 32, 6, 1024
 CACHED_WORDS = 700_000
 _POISSON = (np.cumsum([math.exp(-1) / math.factorial(i) for i in range(16)]) * 2.0**32).astype(np.uint64)
 _KNOWN: dict[str, bytes] = {}
@@ -151,13 +154,72 @@ def _bander(bands: int, rows: int):
 
 
 def _estimator():
-    def call(node, rep, a, b):
+    def call(node, rep, band, a, b):
         x, y = (np.frombuffer(b"".join(s), np.uint16).reshape(len(node), -1) for s in (a, b))
-        return {"node": node, "rep": rep, "estimate": (x == y).mean(axis=1)}
+        return {"node": node, "rep": rep, "band": band, "estimate": (x == y).mean(axis=1)}
 
     return call
 
 
+def _compare(open_: np.ndarray, all_: np.ndarray, nodes: np.ndarray, low: float, high: float) -> list[tuple[int, int, bool]]:
+    """(node, node, sure) for the rows `open_` against `all_` rows of signatures: a forest of the sure pairs, and those
+    near the threshold whose ends it does not join."""
+    parent = {int(n): int(n) for n in nodes}
+
+    def root(n: int) -> int:
+        while parent[n] != n:
+            parent[n] = parent[parent[n]]
+            n = parent[n]
+        return n
+
+    ids, out, near = [int(n) for n in nodes], [], []
+    for i in range(len(open_)):
+        at = np.flatnonzero((all_ == open_[i]).mean(axis=1) >= low)
+        share = (all_[at] == open_[i]).mean(axis=1)
+        for j, e in zip(at.tolist(), share.tolist(), strict=True):
+            u, v = ids[i], ids[len(open_) + j]
+            if u == v:
+                continue
+            if e < high:
+                near.append((u, v))
+            elif root(u) != root(v):
+                parent[root(u)] = root(v)
+                out.append((u, v, True))
+    return out + [(u, v, False) for u, v in dict.fromkeys((max(p), min(p)) for p in near) if root(u) != root(v)]
+
+
+def _blocks(low: float, high: float, schema):
+    """mapInArrow over rows sorted by (band, i, j): compares each block's open rows with its others."""
+    def run(batches):
+        held: list[tuple] = []
+        last = None
+
+        def done():
+            mine, rest = [r for r in held if r[1]], [r for r in held if not r[1]]
+            if mine and rest:
+                x, y = (np.frombuffer(b"".join(r[2] for r in rows), np.uint16).reshape(len(rows), -1) for rows in (mine, rest))
+                yield from _compare(x, y, np.array([r[0] for r in mine + rest], np.int64), low, high)
+
+        def batch(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+        found: list[tuple] = []
+        for b in batches:
+            for band, i, j, node, is_open, sig in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (band, i, j) != last:
+                    found += done()
+                    held, last = [], (band, i, j)
+                    if len(found) > 5000:
+                        yield batch(found)
+                        found = []
+                held.append((node, is_open, sig))
+        found += done()
+        if found:
+            yield batch(found)
+
+    return run
+
+
 def _checker():
     def call(node, rep, a, b):
         return {"node": node, "rep": rep, "similarity": [similarity(shingles(x), shingles(y)) for x, y in zip(a, b, strict=True)]}
@@ -174,29 +236,38 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     texts = cut(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
     # five standard deviations of an estimate around the threshold, on either side
     spread = 5 * math.sqrt(threshold * (1 - threshold) / k)
-    left = cut(map_columns(texts.select("node", "sig"), _bander(bands, rows), "band long, node long"), "bands")
-    links: list[DataFrame] = []
+    low, high = threshold - spread, threshold + spread
+    all_ = cut(map_columns(texts.select("node", "sig"), _bander(bands, rows), "band long, node long"), "bands")
     sig = texts.select("node", "sig")
-    while True:
-        reps = left.groupBy("band").agg(F.min("node").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
-        met = cut(left.join(reps, "band").where("node <> rep"), "met")
-        drop(left)
-        pairs = met.select("node", "rep").distinct()
-        both = pairs.join(sig, "node").join(sig.select(F.col("node").alias("rep"), F.col("sig").alias("rep_sig")), "rep")
-        guessed = cut(map_columns(both.select("node", "rep", "sig", "rep_sig"), _estimator, "node long, rep long, estimate double").where(F.col("estimate") >= threshold - spread), "guessed")
-        sure = guessed.where(F.col("estimate") >= threshold + spread).select("node", "rep")
-        near = guessed.where(F.col("estimate") < threshold + spread).select("node", "rep")
-        link = sure.unionByName(_checked(near, texts, keyed, threshold)) if near.limit(1).count() else sure
-        link = cut(link, "links")
-        links.append(link)
-        left = cut(met.join(link, ["node", "rep"], "left_anti").select("band", "node"), "left")
-        drop(met)
-        if not left.groupBy("band").count().where("count > 1").limit(1).count():
-            break
-    edges = links[0]
-    for more in links[1:]:
-        edges = edges.unionByName(more)
-    found = cut(components(edges.select(F.col("node").alias("u"), F.col("rep").alias("v"))), "components")
+    reps = cut(all_.groupBy("band").agg(F.min("node").alias("rep"), F.count("*").alias("n")).where("n > 1"), "reps")
+    met = all_.join(reps.select("band", "rep"), "band").where("node <> rep")
+    both = met.join(sig, "node").join(sig.select(F.col("node").alias("rep"), F.col("sig").alias("rep_sig")), "rep")
+    star = cut(map_columns(both.select("node", "rep", "band", "sig", "rep_sig"), _estimator, "node long, rep long, band long, estimate double"), "star")
+    # members that are not surely like their bucket's least one, against all of the bucket but that one, in blocks
+    unsure = star.where(F.col("estimate") < high).select("band", "node")
+    wide = reps.where("n > 2").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    unsure = cut(unsure.join(wide, "band"), "unsure")
+    others = star.select("band", "node").join(unsure.select("band", "blocks").distinct(), "band")
+    span = F.sequence(F.lit(0), F.col("blocks") - 1)
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    asking = unsure.select("band", own.alias("i"), F.explode(span).alias("j"), "node", F.lit(True).alias("is_open"))
+    asked = others.select("band", F.explode(span).alias("i"), own.alias("j"), "node", F.lit(False).alias("is_open"))
+    rows_ = asking.unionByName(asked).join(sig, "node").select("band", "i", "j", "node", "is_open", "sig")
+    rows_ = rows_.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    kind = "node long, rep long, sure boolean"
+    inner = cut(rows_.mapInArrow(_blocks(low, high, arrow_of(kind)), kind), "inner")
+    links = star.where(F.col("estimate") >= low).select("node", "rep", (F.col("estimate") >= high).alias("sure")).unionByName(inner)
+    links = cut(links.groupBy(F.greatest("node", "rep").alias("node"), F.least("node", "rep").alias("rep")).agg(F.max("sure").alias("sure")), "links")
+    drop(all_)
+    drop(star)
+    sure, near = links.where("sure").select("node", "rep"), links.where("NOT sure").select("node", "rep")
+    found = cut(components(sure.select(F.col("node").alias("u"), F.col("rep").alias("v"))), "components")
+    joined = near.join(found, "node", "left").withColumnRenamed("component", "a").join(found.select(F.col("node").alias("rep"), F.col("component").alias("b")), "rep", "left")
+    near = cut(joined.where("a IS NULL OR b IS NULL OR a <> b").select("node", "rep"), "near")
+    if near.limit(1).count():
+        more = _checked(near, texts, keyed, threshold)
+        edges = found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more.select(F.col("node").alias("u"), F.col("rep").alias("v")))
+        found = cut(components(edges), "components")
     named = texts.select("h1", "h2", "node", "least", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = cut(named, "named")
     ids = named.groupBy("component").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_rows"))
