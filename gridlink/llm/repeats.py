@@ -37,8 +37,7 @@ _POWERS: list[np.ndarray] = []
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
-        n = max(n, 1 << 20)
-        steps = np.full((2, n), [[_BASE], [_INVERSE]], np.uint64)
+        steps = np.full((2, max(n, 1 << 20)), [[_BASE], [_INVERSE]], np.uint64)
         steps[:, 0] = 1
         _POWERS[:] = list(np.cumprod(steps, axis=1, dtype=np.uint64))
     return _POWERS[0][:n], _POWERS[1][:n]
