@@ -122,24 +122,37 @@ class IndexFamily:
         self.open: list[DataFrame] = []
 
     def append(self, batch: DataFrame) -> None:
-        """Levels of equal size are merged first, so the last batch's own merge is left to the next one."""
+        """Levels of equal size are merged first, so the last batch's own merge is left to the next one. Classes that the
+        batch has no part in were settled when their last entry came. Each step's shuffle files go before the next step."""
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (rank, one), (_, two) = self.levels.pop(), self.levels.pop()
             self.levels.append((rank + 1, cut(one.unionByName(two).repartition("c"), "level", ["c", "f"])))
             drop(one)
             drop(two)
         new = cut(batch, "entries", ["c", "f"])
-        rows = new
+        rows, marked = new, new.select("c", F.lit(1).alias("new"))
         for _, level in self.levels:
-            rows = rows.unionByName(level)
-        classes = rows.groupBy("c").agg(F.count("*").alias("k")).where("k > 1").select("c")
-        met = cut(rows.join(classes, "c"), "met")
-        contexts = cut(met.groupBy("c", "f").agg(F.count("*").alias("k"), F.min(F.struct("t1", "t2", "lo", "n")).alias("one")), "contexts")
+            rows, marked = rows.unionByName(level), marked.unionByName(level.select("c", F.lit(0).alias("new")))
+        classes = self._kept(marked.groupBy("c").agg(F.count("*").alias("k"), F.max("new").alias("new")).where("k > 1 AND new = 1").select("c"), "classes")
+        met = self._kept(rows.join(classes, "c"), "met")
+        contexts = self._kept(met.groupBy("c", "f").agg(F.count("*").alias("k"), F.min(F.struct("t1", "t2", "lo", "n")).alias("one")), "contexts")
         mixed = contexts.groupBy("c").agg(F.count("*").alias("k")).where("k > 1").select("c")
-        self.open.append(contexts.join(mixed, "c").select("c", "one.*"))
-        self.found.append(met.join(contexts.where("k > 1").select("c", "f"), ["c", "f"]).select("t1", "t2", "lo", "n"))
+        self.open.append(self._kept(contexts.join(mixed, "c").select("c", "one.*"), "open"))
+        self.found.append(self._kept(met.join(contexts.where("k > 1").select("c", "f"), ["c", "f"]).select("t1", "t2", "lo", "n"), "found"))
+        for done in (classes, met, contexts):
+            drop(done)
         self.levels.append((0, new))
+
+    def close(self) -> None:
+        """Removes the levels; what was found and what is open stay."""
+        for _, level in self.levels:
+            drop(level)
+        self.levels = []
+
+    def _kept(self, df: DataFrame, name: str) -> DataFrame:
+        out = cut(df, name)
         release(self.spark)
+        return out
 
 
 def _window_maker(length: int):
@@ -159,11 +172,12 @@ def _window_maker(length: int):
 
 
 def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
-    """(t1, t2, lo, n): windows that occur elsewhere, as runs. docs: t1, t2 (a text's key), text."""
+    """(t1, t2, lo, n): windows that occur elsewhere, as runs that may repeat. docs: t1, t2 (a text's key), text."""
     family = IndexFamily(docs.sparkSession)
     for k in range(batches):
         batch = docs.where(F.pmod(F.col("t2"), F.lit(batches)) == k) if batches > 1 else docs
         family.append(map_columns(batch, _entry_maker(length, gram), _ENTRY))
+    family.close()
     found, todo = family.found[0], family.open[0]
     for x in family.found[1:]:
         found = found.unionByName(x)
@@ -172,14 +186,15 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: i
     todo = todo.distinct().groupBy("t1", "t2").agg(F.collect_list(F.struct("lo", "n", "c")).alias("list"))  # no more than a text's own anchors
     # copies of a text have one key; one of them will do
     texts = docs.join(todo, ["t1", "t2"]).dropDuplicates(["t1", "t2"]).select("t1", "t2", "text", "list")
-    windows = map_columns(texts, _window_maker(length), "h long, t1 long, t2 int, lo int")
-    windows = cut(windows, "windows")
-    twice = windows.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
-    single = windows.join(twice, "h").select("t1", "t2", "lo", F.lit(1).alias("n"))
-    found = cut(found.unionByName(single).distinct(), "found")
-    drop(windows)
+    windows = cut(map_columns(texts, _window_maker(length), "h long, t1 long, t2 int, lo int"), "windows")
+    release(docs.sparkSession)
+    twice = cut(windows.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), "twice")
+    release(docs.sparkSession)
+    single = cut(windows.join(twice, "h").select("t1", "t2", "lo", F.lit(1).alias("n")), "single")
+    for done in (windows, twice):
+        drop(done)
     release(docs.sparkSession)
-    return found
+    return found.unionByName(single)
 
 
 def _cutter(length: int):
