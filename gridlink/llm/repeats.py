@@ -203,13 +203,11 @@ def _cutter(length: int):
             out = {"doc_id": ids, "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "spans": []}
             for text, runs in zip(texts, lists, strict=True):
                 data = text.encode("utf-8", "surrogatepass")
-                spans: list[list[int]] = []
-                for x in sorted(runs or (), key=lambda x: x["lo"]):
-                    a, b = x["lo"], x["lo"] + x["n"] - 1 + length
-                    if spans and a <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], b)
-                    else:
-                        spans.append([a, b])
+                packed = np.sort(np.array(runs or (), np.int64))
+                first = packed >> 16
+                stop = np.maximum.accumulate(first + (packed & 0xFFFF) - 1 + length) if len(first) else first
+                new = np.append(True, first[1:] > stop[:-1])[: len(first)]
+                spans = list(zip(first[new].tolist(), stop[np.append(np.flatnonzero(new)[1:], len(first)) - 1].tolist() if len(first) else [], strict=True))
                 kept, at = [], 0
                 for a, b in spans:
                     kept.append(data[at:a])
@@ -230,7 +228,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("t1"), F.hash(text, F.lit("second")).alias("t2"), text.alias("text"))
     runs = repeated(keyed.select("t1", "t2", "text"), length, gram, batches)
-    by_text = cut(runs.groupBy("t1", "t2").agg(F.collect_list(F.struct("lo", "n")).alias("runs")), "runs")
+    by_text = cut(runs.groupBy("t1", "t2").agg(F.collect_set(F.shiftleft(F.col("lo").cast("long"), 16).bitwiseOR(F.col("n").cast("long"))).alias("runs")), "runs")
     whole = keyed.join(by_text, ["t1", "t2"], "left").select("doc_id", "text", "runs")
     return map_columns(whole, _cutter(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>")
 
