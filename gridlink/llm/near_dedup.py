@@ -5,12 +5,12 @@ region's hashed darts (a Poisson number, each with a coordinate, a rank and a fi
 the region alone, so documents that share an area share its darts. A document throws ranks until every coordinate is
 hit and keeps the earliest dart of each: a signature whose agreement estimates the weighted Jaccard similarity.
 
-Joining: distinct texts alone take part. Texts that agree in a band of `rows` coordinates share a bucket. Each member is
-first compared with the bucket's least member; in a group of copies that settles nearly all, at one comparison each.
-Members that are not surely like it are then compared with every member of their bucket, in blocks of bounded size
-that emit links only, so no link is lost and no bucket lands in one task. Estimates far from the threshold (more than
-five standard deviations) decide; those near it are checked on the texts, unless sure links join their ends already.
-Links become classes by star steps on the cluster.
+Joining: distinct texts alone take part. Texts that agree in a band of `rows` coordinates share a bucket; of buckets with
+the same members one is kept. Each member is first compared with the bucket's least member, exactly, on the whole texts;
+in a group of copies that settles nearly all, at one comparison each, and the links become components on the cluster.
+Buckets that still hold several components are then compared in blocks of bounded size: every member outside the
+component of the least one with every other member, by an inverted list of the block's shingles, so each similarity is
+exact and a block emits no more than a forest of links between components. No link is lost and no bucket has to fit in one task.
 
 Similarity: Jaccard over sets of five-word shingles (lower case, parted at white space), 0.8 or more. A text of fewer
 than five words is one shingle. With 32 bands of 6 a pair of similarity 0.8 is missed with probability 6e-5.
@@ -128,43 +128,48 @@ def _throw(out: np.ndarray, sets, weights, rows, ranks, k: int) -> None:
     np.minimum.at(out, place, when | (dart & np.uint64(0xFFFFFFFF)))
 
 
-def _signer(k: int):
+def _signer(bands: int, rows: int):
     def make():
         def call(ids, h1, h2, texts):
-            sig = signatures([shingles(t) for t in texts], k).astype(np.uint16)
-            return {"doc_id": ids, "h1": h1, "h2": h2, "sig": [r.tobytes() for r in sig]}
+            sig = signatures([shingles(t) for t in texts], bands * rows).reshape(-1, bands, rows).astype(np.uint64)
+            key = np.tile(np.arange(bands, dtype=np.uint64), (len(sig), 1))
+            for j in range(rows):
+                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, j])
+            return {"doc_id": ids, "h1": h1, "h2": h2, "keys": [r.tobytes() for r in key]}
 
         return call
 
     return make
 
 
-def _bander(bands: int, rows: int):
+def _bander(bands: int):
     def make():
-        def call(nodes, sigs):
-            sig = np.frombuffer(b"".join(sigs), np.uint16).reshape(-1, bands, rows).astype(np.uint64)
-            key = np.tile(np.arange(bands, dtype=np.uint64), (len(sig), 1))
-            for j in range(rows):
-                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, j])
-            return {"band": key.reshape(-1).view(np.int64), "node": np.repeat(np.array(nodes, np.int64), bands)}
+        def call(nodes, keys):
+            return {"band": np.frombuffer(b"".join(keys), np.int64), "node": np.repeat(np.array(nodes, np.int64), bands)}
 
         return call
 
     return make
 
 
-def _estimator():
-    def call(node, rep, band, a, b):
-        x, y = (np.frombuffer(b"".join(s), np.uint16).reshape(len(node), -1) for s in (a, b))
-        return {"node": node, "rep": rep, "band": band, "estimate": (x == y).mean(axis=1)}
+def _checker():
+    known: dict[int, np.ndarray] = {}
+
+    def call(node, rep, a, b):
+        out = []
+        for r, x, y in zip(rep, a, b, strict=True):
+            if r not in known:  # rows of one least member mostly follow each other
+                known.clear()
+                known[r] = shingles(y)
+            out.append(similarity(shingles(x), known[r]))
+        return {"node": node, "rep": rep, "similarity": out}
 
     return call
 
 
-def _compare(open_: np.ndarray, all_: np.ndarray, nodes: np.ndarray, low: float, high: float) -> list[tuple[int, int, bool]]:
-    """(node, node, sure) for the rows `open_` against `all_` rows of signatures: a forest of the sure pairs, and those
-    near the threshold whose ends it does not join."""
-    parent = {int(n): int(n) for n in nodes}
+def _compare(rows: list[tuple[int, int, str]], threshold: float) -> list[tuple[int, int]]:
+    """Links between components, a forest, from rows (component, role, text); role & 1: compared with, role & 2: asking."""
+    parent = {c: c for c, _, _ in rows}
 
     def root(n: int) -> int:
         while parent[n] != n:
@@ -172,117 +177,103 @@ def _compare(open_: np.ndarray, all_: np.ndarray, nodes: np.ndarray, low: float,
             n = parent[n]
         return n
 
-    ids, out, near = [int(n) for n in nodes], [], []
-    for i in range(len(open_)):
-        at = np.flatnonzero((all_ == open_[i]).mean(axis=1) >= low)
-        share = (all_[at] == open_[i]).mean(axis=1)
-        for j, e in zip(at.tolist(), share.tolist(), strict=True):
-            u, v = ids[i], ids[len(open_) + j]
-            if u == v:
-                continue
-            if e < high:
-                near.append((u, v))
-            elif root(u) != root(v):
-                parent[root(u)] = root(v)
-                out.append((u, v, True))
-    return out + [(u, v, False) for u, v in dict.fromkeys((max(p), min(p)) for p in near) if root(u) != root(v)]
-
-
-def _blocks(low: float, high: float, schema):
-    """mapInArrow over rows sorted by (band, i, j): compares each block's open rows with its others."""
+    sets = [shingles(t) for _, _, t in rows]
+    others = [k for k, r in enumerate(rows) if r[1] & 1]
+    if not others:
+        return []
+    sizes = np.array([len(sets[k]) for k in others])
+    owner = np.repeat(np.arange(len(others)), sizes)
+    listed = np.concatenate([sets[k] for k in others])
+    order = np.argsort(listed, kind="stable")
+    listed, owner, out = listed[order], owner[order], []
+    for k, (c, role, _) in enumerate(rows):
+        if not role & 2:
+            continue
+        low, high = np.searchsorted(listed, sets[k], "left"), np.searchsorted(listed, sets[k], "right")
+        many = high - low
+        at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
+        both = np.bincount(owner[at], minlength=len(others))
+        for j in np.flatnonzero(both / (len(sets[k]) + sizes - both) >= threshold).tolist():
+            u, v = root(c), root(rows[others[j]][0])
+            if u != v:
+                parent[max(u, v)] = min(u, v)
+                out.append((max(u, v), min(u, v)))
+    return out
+
+
+def _blocks(threshold: float, schema):
+    """mapInArrow over rows sorted by (band, i, j): compares each block's asking rows with its others."""
+
     def run(batches):
         held: list[tuple] = []
-        last = None
-
-        def done():
-            mine, rest = [r for r in held if r[1]], [r for r in held if not r[1]]
-            if mine and rest:
-                x, y = (np.frombuffer(b"".join(r[2] for r in rows), np.uint16).reshape(len(rows), -1) for rows in (mine, rest))
-                yield from _compare(x, y, np.array([r[0] for r in mine + rest], np.int64), low, high)
-
-        def batch(rows):
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
-        found: list[tuple] = []
+        last, links = None, set()
         for b in batches:
-            for band, i, j, node, is_open, sig in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for band, i, j, component, role, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (band, i, j) != last:
-                    found += done()
+                    links.update(_compare(held, threshold))
                     held, last = [], (band, i, j)
-                    if len(found) > 5000:
-                        yield batch(found)
-                        found = []
-                held.append((node, is_open, sig))
-        found += done()
-        if found:
-            yield batch(found)
+                held.append((component, role, text))
+            if len(links) > 5000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*links, strict=True), schema, strict=True)], schema=schema)
+                links = set()
+        links.update(_compare(held, threshold))
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*links, strict=True), schema, strict=True)], schema=schema)
 
     return run
 
 
-def _checker():
-    def call(node, rep, a, b):
-        return {"node": node, "rep": rep, "similarity": [similarity(shingles(x), shingles(y)) for x, y in zip(a, b, strict=True)]}
-
-    return call
-
-
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class), class_rows."""
-    k, text = bands * rows, F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit("second")).alias("h2"), text.alias("text"))
-    signed = cut(map_columns(keyed, _signer(k), "doc_id long, h1 long, h2 long, sig binary"), "signed")
-    texts = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.min("sig").alias("sig"))
+    signed = cut(map_columns(keyed, _signer(bands, rows), "doc_id long, h1 long, h2 long, keys binary"), "signed")
+    texts = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.min("keys").alias("keys"))
     texts = cut(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
-    # five standard deviations of an estimate around the threshold, on either side
-    spread = 5 * math.sqrt(threshold * (1 - threshold) / k)
-    low, high = threshold - spread, threshold + spread
-    all_ = cut(map_columns(texts.select("node", "sig"), _bander(bands, rows), "band long, node long"), "bands")
-    sig = texts.select("node", "sig")
-    reps = cut(all_.groupBy("band").agg(F.min("node").alias("rep"), F.count("*").alias("n")).where("n > 1"), "reps")
-    met = all_.join(reps.select("band", "rep"), "band").where("node <> rep")
-    both = met.join(sig, "node").join(sig.select(F.col("node").alias("rep"), F.col("sig").alias("rep_sig")), "rep")
-    star = cut(map_columns(both.select("node", "rep", "band", "sig", "rep_sig"), _estimator, "node long, rep long, band long, estimate double"), "star")
-    # members that are not surely like their bucket's least one, against all of the bucket but that one, in blocks
-    unsure = star.where(F.col("estimate") < high).select("band", "node")
-    wide = reps.where("n > 2").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    unsure = cut(unsure.join(wide, "band"), "unsure")
-    others = star.select("band", "node").join(unsure.select("band", "blocks").distinct(), "band")
-    span = F.sequence(F.lit(0), F.col("blocks") - 1)
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    asking = unsure.select("band", own.alias("i"), F.explode(span).alias("j"), "node", F.lit(True).alias("is_open"))
-    asked = others.select("band", F.explode(span).alias("i"), own.alias("j"), "node", F.lit(False).alias("is_open"))
-    rows_ = asking.unionByName(asked).join(sig, "node").select("band", "i", "j", "node", "is_open", "sig")
-    rows_ = rows_.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    kind = "node long, rep long, sure boolean"
-    inner = cut(rows_.mapInArrow(_blocks(low, high, arrow_of(kind)), kind), "inner")
-    links = star.where(F.col("estimate") >= low).select("node", "rep", (F.col("estimate") >= high).alias("sure")).unionByName(inner)
-    links = cut(links.groupBy(F.greatest("node", "rep").alias("node"), F.least("node", "rep").alias("rep")).agg(F.max("sure").alias("sure")), "links")
+    all_ = cut(map_columns(texts.select("node", "keys"), _bander(bands), "band long, node long"), "bands")
+    # buckets of the same members (alike in number, sum and xor of hashes) need one comparison
+    same = F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("node", F.lit("second"))).alias("x")
+    buckets = all_.groupBy("band").agg(F.min("node").alias("rep"), F.count("*").alias("n"), *same).where("n > 1")
+    buckets = buckets.groupBy("rep", "n", "s", "x").agg(F.min("band").alias("band")).select("band", "rep", "n")
+    members = cut(all_.join(buckets, "band"), "members")
     drop(all_)
-    drop(star)
-    sure, near = links.where("sure").select("node", "rep"), links.where("NOT sure").select("node", "rep")
-    found = cut(components(sure.select(F.col("node").alias("u"), F.col("rep").alias("v"))), "components")
-    joined = near.join(found, "node", "left").withColumnRenamed("component", "a").join(found.select(F.col("node").alias("rep"), F.col("component").alias("b")), "rep", "left")
-    near = cut(joined.where("a IS NULL OR b IS NULL OR a <> b").select("node", "rep"), "near")
-    if near.limit(1).count():
-        more = _checked(near, texts, keyed, threshold)
-        edges = found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more.select(F.col("node").alias("u"), F.col("rep").alias("v")))
-        found = cut(components(edges), "components")
+    nodes = members.select("node").distinct().join(texts.select("node", "h1", "h2", "least"), "node")
+    # of a text's copies, the rows with the least doc_id alone are read
+    same_row = (keyed["h1"] == nodes["h1"]) & (keyed["h2"] == nodes["h2"]) & keyed["doc_id"].eqNullSafe(nodes["least"])
+    whole = cut(keyed.join(nodes, same_row).groupBy("node").agg(F.first("text").alias("text")), "whole")
+    pairs = members.where("node <> rep").select("node", "rep").distinct()
+    both = pairs.join(whole, "node").join(whole.select(F.col("node").alias("rep"), F.col("text").alias("rep_text")), "rep")
+    star = map_columns(both.select("node", "rep", "text", "rep_text"), _checker, "node long, rep long, similarity double")
+    found = cut(components(star.where(F.col("similarity") >= threshold).select(F.col("node").alias("u"), F.col("rep").alias("v"))), "components")
+    links = cut(_across(members, whole, found, threshold), "links")
+    drop(whole)
+    drop(members)
+    further = components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("component"), F.col("component").alias("last"))
     named = texts.select("h1", "h2", "node", "least", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = cut(named, "named")
+    named = cut(named.join(further, "component", "left").withColumn("component", F.coalesce("last", "component")), "named")
     ids = named.groupBy("component").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_rows"))
     named = named.join(ids, "component").select("h1", "h2", F.coalesce("class_id", -1 - F.col("component")).alias("class_id"), "class_rows")
     return signed.select("doc_id", "h1", "h2").join(named, ["h1", "h2"]).select("doc_id", "class_id", "class_rows")
 
 
-def _checked(pairs: DataFrame, texts: DataFrame, keyed: DataFrame, threshold: float) -> DataFrame:
-    """Those of the pairs whose texts are similar enough."""
-    nodes = pairs.select("node").unionByName(pairs.select(F.col("rep").alias("node"))).distinct().join(texts.select("node", "h1", "h2"), "node")
-    whole = keyed.select("h1", "h2", "text").join(nodes, ["h1", "h2"]).dropDuplicates(["node"]).select("node", "text")
-    whole = cut(whole, "near")
-    both = pairs.join(whole, "node").join(whole.select(F.col("node").alias("rep"), F.col("text").alias("rep_text")), "rep")
-    rows = map_columns(both.select("node", "rep", "text", "rep_text"), _checker, "node long, rep long, similarity double")
-    return rows.where(F.col("similarity") >= threshold).select("node", "rep")
+def _across(members: DataFrame, whole: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links between components (node, component) of members (band, node, rep, n) of one bucket."""
+    held = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    held = cut(held, "held")
+    home = F.min(F.struct("node", "component"))["component"].alias("home")
+    mixed = held.groupBy("band").agg(home, F.min("component").alias("least"), F.max("component").alias("most"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    mixed = mixed.where("least <> most").select("band", "home", "blocks")
+    # the least member has been compared with all others
+    rows = held.where("node <> rep AND n > 2").join(mixed, "band").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("asks", F.col("component") != F.col("home"))
+    span = F.sequence(F.lit(0), F.col("blocks") - 1)
+    role = F.when(F.col("asks") & (F.col("i") == F.col("own")), 3).otherwise(1)
+    asked = rows.select("*", F.explode(span).alias("i")).select("band", "i", F.col("own").alias("j"), "node", "component", role.alias("role"))
+    asking = rows.where("asks").select("band", F.col("own").alias("i"), F.explode(span).alias("j"), "node", "component", F.lit(2).alias("role")).where("i <> j")
+    placed = asked.unionByName(asking).join(whole, "node").select("band", "i", "j", "component", "role", "text")
+    placed = placed.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    kind = "a long, b long"
+    return placed.mapInArrow(_blocks(threshold, arrow_of(kind)), kind).distinct()
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
