@@ -2,7 +2,8 @@
 
 Writing: payload digests are aggregated to the smallest page_id of each (pre-aggregated; a common payload's rows are a
 plain join's skewed side, which adaptive execution splits), and records go out through Spark's text writer, so no task
-needs a local file. Reading: a file is split at every magic line, also at those inside payloads. Each task emits its
+needs a local file. Payloads are joined in PARTS passes over shares of the digests, each pass's shuffle files going before
+the next, so the disk holds the archives and one share. Reading: a file is split at every magic line, also at those inside payloads. Each task emits its
 candidates with the offset of their successor, contracts the chains within its split from the right, and pointer
 jumping over the splits' entries, from each file's start, finds the one candidate in each split where the true chain
 enters. Only records on the chain are kept, so records that a payload quotes are not. A payload that was cut at a
@@ -27,10 +28,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from gridlink.llm.common import arrow_of, cut, scratch_path, table
+from gridlink.llm.common import arrow_of, cut, drop, release, scratch_path, table
 
 MAGIC, END = "WARC/1.0\r\n", "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
+PARTS = 3
 FIELDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -46,12 +48,23 @@ def _urn(page_id: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.regexp_replace(h, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">"))
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> None:
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", parts: int = PARTS) -> None:
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     payload = F.encode("html", "utf-8")
     rows = rows.withColumn("n", F.octet_length(payload)).withColumn("same", F.sha2(payload, 256))
     firsts = rows.groupBy("same").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    rows = rows.join(firsts, "same", "left")
+    firsts = cut(firsts, "firsts")
+    share = F.pmod(F.xxhash64("same"), F.lit(parts))
+    for k in range(parts):
+        joined = rows.where(share == k).join(firsts.where(share == k), "same", "left")
+        _records(joined, min_revisit_bytes, date).write.mode("append" if k else "error").option("lineSep", END).text(path)
+        release(pages.sparkSession)
+    drop(firsts)
+
+
+def _records(rows: DataFrame, min_revisit_bytes: int, date: str) -> DataFrame:
+    """value: the record of each row (page_id, url, html, n, first: the smallest page_id of its payload, null if alone)."""
+    payload = F.encode("html", "utf-8")
     revisit = (F.col("n") >= min_revisit_bytes) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     digest = base32_sha1(payload)
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n").cast("string"), F.lit(END))
@@ -79,7 +92,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         F.lit("\r\n"),
         block,
     )
-    is_revisit.select(record.alias("value")).write.option("lineSep", END).text(path)
+    return is_revisit.select(record.alias("value"))
 
 
 def _header(data: bytes) -> tuple[dict[str, str], int] | None:
