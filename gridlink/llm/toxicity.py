@@ -1,15 +1,16 @@
 """Operator 1: toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are lower-cased letter runs. The vocabulary holds the terms whose presence depends on the label (chi-squared
-over a bounded sample of labelled rows, and a share of either label's rows, so that words of one group of copies don't count); their document frequencies are counted over all documents. Examples are the
-sample's distinct texts as unit TF-IDF vectors, held in an inverted index whose postings are cut into blocks of
-examples with each term's largest weight in the block. A text is searched block by block in order of its upper bound,
-and the search ends when no block can beat the k-th best: the k nearest are exact. Their distance-weighted votes are
-calibrated by a logistic fit on the examples' own leave-one-out votes. Texts without a vocabulary term have no
+Terms are lower-cased letter runs. The vocabulary holds every term of a bounded sample of labelled rows; the terms'
+document frequencies are counted over all documents. A term's weight is its TF-IDF times sqrt(1 + chi2) of its presence
+and the label over the sample: a term without evidence keeps its plain TF-IDF, and none is left out. Examples are the
+sample's distinct texts as unit vectors, held in an inverted index whose postings are cut into blocks of
+examples with each term's largest weight in the block. A text is searched some blocks at a time in order of their upper
+bounds, and the search ends when no block can beat the k-th best: the k nearest are exact. Their distance-weighted votes
+are calibrated by a logistic fit on the examples' own leave-one-out votes. Texts without a term of any example have no
 neighbour and get the calibrated share of such examples.
 
-Bounds (parameters): MAX_EXAMPLES labelled rows and MAX_TERMS terms make the model, so it can be broadcast whatever the
-corpus's size; every document is scored whole, where it lies.
+Bound (parameter): MAX_EXAMPLES labelled rows make the model, so it can be broadcast whatever the corpus's size; every
+document is scored whole, where it lies.
 
 Defined cases: null and empty texts have no terms; null doc_ids count as empty in the split and can't be labelled;
 of contradicting labels the toxic one counts, rows with a null label are ignored; repeated rows are scored alike;
@@ -19,17 +20,19 @@ empty result. Only the named columns are read, so further columns can't clash.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
-from dataclasses import dataclass
+from collections.abc import Iterable
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlink.llm.common import bucket, cut, map_columns, table
+from gridlink.llm.common import bucket, map_columns, table
 
-MAX_EXAMPLES, MAX_TERMS, MIN_CHI2, MIN_SHARE, NEIGHBOURS, BLOCK = 8192, 2048, 40.0, 0.03, 15, 64
+MAX_EXAMPLES, NEIGHBOURS, BLOCK = 8192, 15, 64
 _TERM = re.compile(r"[^\W\d_]+")
 
 
@@ -37,51 +40,77 @@ def terms(text: str | None) -> list[str]:
     return _TERM.findall(text.lower()) if text else []
 
 
+def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges from first to below last, one after the other."""
+    n = last - first
+    return np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
 @dataclass
 class Index:
     """Inverted index over unit vectors of examples, in blocks of BLOCK examples."""
 
-    idf: dict[str, float]
-    postings: dict[str, dict[int, tuple[np.ndarray, np.ndarray]]]  # term -> block -> (places in the block, weights)
-    largest: dict[str, tuple[np.ndarray, np.ndarray]]  # term -> (blocks, largest weight in each)
+    scale: dict[str, float]  # what a term's 1 + log(count) is multiplied by: its IDF, times its label weight
+    postings: dict[str, np.ndarray]  # by term, then example: example, weight; first: where each segment begins
+    largest: dict[str, np.ndarray]  # segments, one for each term and block: block, most (the largest weight); first: where each term's begin
     n: int
+    number: dict[str, int] = field(default_factory=dict)  # place of a term in largest["first"]
 
     @classmethod
-    def build(cls, idf: dict[str, float], vectors: list[dict[str, float]]) -> Index:
-        lists: dict[str, dict[int, list[tuple[int, float]]]] = {}
-        for i, v in enumerate(vectors):
-            for t, w in v.items():
-                lists.setdefault(t, {}).setdefault(i // BLOCK, []).append((i % BLOCK, w))
-        postings = {t: {b: (np.array([p for p, _ in x]), np.array([w for _, w in x])) for b, x in blocks.items()} for t, blocks in lists.items()}
-        largest = {t: (np.array(list(b)), np.array([w.max() for _, w in b.values()])) for t, b in postings.items()}
-        return cls(idf, postings, largest, len(vectors))
+    def build(cls, scale: dict[str, float], vectors: Iterable[dict[str, float]]) -> Index:
+        number = {t: i for i, t in enumerate(scale)}
+        found = [(np.array([number[t] for t in v], np.int64), np.array(list(v.values()), np.float64)) for v in vectors]
+        n = len(found)
+        example = np.repeat(np.arange(n), [len(t) for t, _ in found])
+        term, weight = (np.concatenate([x[k] for x in found] or [np.zeros(0)]) for k in (0, 1))
+        term = term.astype(np.int64)
+        order = np.lexsort((example, term))
+        example, term, weight = example[order], term[order], weight[order]
+        new = np.ones(len(term), bool)
+        new[1:] = (term[1:] != term[:-1]) | (example[1:] // BLOCK != example[:-1] // BLOCK)
+        heads = np.flatnonzero(new)
+        most = np.maximum.reduceat(weight, heads) if len(heads) else np.zeros(0)
+        postings = {"example": example.astype(np.int32), "weight": weight, "first": np.append(heads, len(term))}
+        largest = {"block": (example[heads] // BLOCK).astype(np.int32), "most": most, "first": np.searchsorted(term[heads], np.arange(len(number) + 1))}
+        return cls(scale, postings, largest, n, number)
 
     def vector(self, found: dict[str, int]) -> dict[str, float]:
-        raw = {t: (1 + np.log(n)) * self.idf[t] for t, n in found.items() if t in self.idf}
-        norm = np.sqrt(sum(w * w for w in raw.values()))
-        return {t: float(w / norm) for t, w in raw.items()} if norm else {}
+        raw = {t: (1 + math.log(n)) * self.scale[t] for t, n in found.items() if t in self.scale}
+        norm = math.sqrt(sum(w * w for w in raw.values()))
+        return {t: w / norm for t, w in raw.items()} if norm else {}
 
     def nearest(self, q: dict[str, float], k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples with a positive cosine, nearest first."""
-        bound = np.zeros(-(-self.n // BLOCK))
-        for t, w in q.items():
-            if t in self.largest:
-                blocks, most = self.largest[t]
-                bound[blocks] += w * most
         at, sims = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(sims) == k and bound[b] < sims[-1] - 1e-12:
+        known = [(self.number[t], w) for t, w in q.items() if t in self.number]
+        if not known:
+            return at, sims
+        term, first = np.array([t for t, _ in known]), self.largest["first"]
+        segment = _ranges(first[term], first[term + 1])
+        weight = np.repeat(np.array([w for _, w in known]), first[term + 1] - first[term])
+        block = self.largest["block"][segment]
+        bound = np.bincount(block, weight * self.largest["most"][segment], -(-self.n // BLOCK))
+        order, done, some = np.argsort(-bound, kind="stable"), 0, 8
+        while done < len(order):
+            todo = order[done : done + some]
+            todo = todo[(bound[todo] > 0) & (bound[todo] >= (sims[-1] - 1e-12 if len(sims) == k else 0))]
+            if not len(todo):
                 break
-            scores = np.zeros(BLOCK)
-            for t, w in q.items():
-                if (got := self.postings.get(t, {}).get(int(b))) is not None:
-                    scores[got[0]] += w * got[1]
-            if 0 <= without - b * BLOCK < BLOCK:
-                scores[without - b * BLOCK] = 0
+            chosen = np.zeros(len(order), bool)
+            chosen[todo] = True
+            chosen = chosen[block]
+            begin, end = self.postings["first"][segment[chosen]], self.postings["first"][segment[chosen] + 1]
+            source = _ranges(begin, end)
+            scores = np.bincount(self.postings["example"][source], self.postings["weight"][source] * np.repeat(weight[chosen], end - begin), self.n)
+            if without >= 0:
+                scores[without] = 0
             here = np.flatnonzero(scores > 0)
-            at, sims = np.concatenate([at, here + b * BLOCK]), np.concatenate([sims, scores[here]])
+            if len(here) > k:
+                here = here[scores[here] >= np.partition(scores[here], -k)[-k] - 1e-11]  # ties are settled below
+            at, sims = np.concatenate([at, here]), np.concatenate([sims, scores[here]])
             best = np.lexsort((at, -np.round(sims, 12)))[:k]
             at, sims = at[best], sims[best]
+            done, some = done + some, 4 * some
         return at, sims
 
 
@@ -116,20 +145,24 @@ def _counter():
     return call
 
 
-def _frequencies(docs: DataFrame, words: set[str]) -> tuple[dict[str, int], int]:
+def _frequencies(docs: DataFrame, words: list[str]) -> tuple[np.ndarray, int]:
     """In how many of all documents each of the words stands, and the number of documents."""
-    known = docs.sparkSession.sparkContext.broadcast(frozenset(words))
+    known = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
 
     def make():
         def call(texts):
-            found = Counter(w for t in texts for w in known.value.intersection(terms(t)))
-            return {"term": ["", *found], "n": [len(texts), *found.values()]}
+            found: Counter = Counter()
+            for t in texts:
+                found.update(set(map(known.value.get, terms(t))))
+            found.pop(None, None)
+            return {"word": [-1, *found], "n": [len(texts), *found.values()]}
 
         return call
 
-    got = map_columns(docs.select("text"), make, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    counts = {r["term"]: r["n"] for r in got.collect()}  # at most MAX_TERMS + 1 rows
-    return counts, counts.pop("", 0)
+    got = map_columns(docs.select("text"), make, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()  # a row a word
+    word, n, counts = got["word"].to_numpy(), got["n"].to_numpy(), np.zeros(len(words), np.int64)
+    counts[word[word >= 0]] = n[word >= 0]
+    return counts, int(n[word < 0].sum())
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> Model | None:
@@ -142,33 +175,37 @@ def learn(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES)
     sample = labels.where(F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1 << 20)) < rate).limit(max_examples)
     rows = docs.join(F.broadcast(sample), "doc_id").select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text")  # at most max_examples rows
     rows = rows.dropDuplicates(["text"])
-    rows = cut(map_columns(rows, _counter, "doc_id long, toxic int, term array<string>, n array<int>"), "examples")
-    total = rows.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
-    if not total["n"]:
+    rows = map_columns(rows, _counter, "doc_id long, toxic int, term array<string>, n array<int>").toArrow().sort_by("doc_id")
+    if not rows.num_rows:
         return None
-    all_, tox = total["n"], total["t"] or 0
-    a, b = F.col("a"), F.col("b")
-    chi2 = all_ * F.pow(a * (all_ - tox - b) - b * (tox - a), 2) / (F.greatest(a + b, F.lit(1.0)) * F.greatest(all_ - a - b, F.lit(1.0)) * max(1, tox) * max(1, all_ - tox))
-    by_term = rows.select("toxic", F.explode("term").alias("term")).groupBy("term").agg(F.sum("toxic").cast("double").alias("a"), F.sum(1 - F.col("toxic")).cast("double").alias("b"))
-    chosen = by_term.withColumn("chi2", chi2).where((F.col("chi2") >= MIN_CHI2) & (F.greatest(a / max(1, tox), b / max(1, all_ - tox)) >= MIN_SHARE)).orderBy(F.desc("chi2"), "term").limit(MAX_TERMS).collect()
-    df, n_docs = _frequencies(docs, {r["term"] for r in chosen})
-    idf = {r["term"]: float(np.log((1 + n_docs) / (1 + df.get(r["term"], 0))) + 1) for r in chosen}
-    wanted = F.array(*(F.lit(t) for t in sorted(idf))) if idf else F.array().cast("array<string>")
-    pairs = F.filter(F.arrays_zip("term", "n"), lambda x: F.array_contains(wanted, x["term"]))
-    examples = sorted(rows.select("doc_id", "toxic", pairs.alias("found")).collect(), key=lambda r: r["doc_id"])
-    # an example without a vocabulary term can be nobody's neighbour
-    near = [r for r in examples if r["found"]]
-    index = Index.build(idf, [Index(idf, {}, {}, 0).vector({x["term"]: x["n"] for x in r["found"]}) for r in near])
-    toxic, ids = np.array([r["toxic"] for r in near], np.float64), np.array([r["doc_id"] for r in near], np.int64)
-    lone = [r["toxic"] for r in examples if not r["found"]]
+    ids, toxic = rows["doc_id"].to_numpy(), rows["toxic"].to_numpy().astype(np.float64)
+    held = rows["term"].combine_chunks()
+    coded, sizes = held.flatten().dictionary_encode(), held.value_lengths().to_numpy()
+    words, code, times = coded.dictionary.to_pylist(), coded.indices.to_numpy(), rows["n"].combine_chunks().flatten().to_numpy()
+    all_, tox = len(ids), toxic.sum()
+    a = np.bincount(code, np.repeat(toxic, sizes), len(words))
+    b = np.bincount(code, minlength=len(words)) - a
+    chi2 = all_ * (a * (all_ - tox - b) - b * (tox - a)) ** 2 / (np.maximum(a + b, 1) * np.maximum(all_ - a - b, 1) * max(1, tox) * max(1, all_ - tox))
+    df, n_docs = _frequencies(docs, words)
+    scale = dict(zip(words, ((np.log((1 + n_docs) / (1 + df)) + 1) * np.sqrt(1 + chi2)).tolist(), strict=True))
+    ends = np.cumsum(sizes)
+    blank = Index(scale, {}, {}, 0)
+
+    def vector(i: int) -> dict[str, float]:
+        part = slice(ends[i] - sizes[i], ends[i])
+        return blank.vector({words[c]: m for c, m in zip(code[part].tolist(), times[part].tolist(), strict=True)})
+
+    # an example without a term can be nobody's neighbour
+    near, lone = np.flatnonzero(sizes), toxic[sizes == 0]
+    index = Index.build(scale, (vector(i) for i in near))
     x, y = [], []
-    for i, r in enumerate(near):
-        at, sims = index.nearest(index.vector({v["term"]: v["n"] for v in r["found"]}), NEIGHBOURS, without=i)
+    for place, i in enumerate(near):
+        at, sims = index.nearest(vector(i), NEIGHBOURS, without=place)
         if len(at):
-            x.append(votes(sims, toxic[at]))
-            y.append(r["toxic"])
+            x.append(votes(sims, toxic[near][at]))
+            y.append(toxic[i])
     slope, shift = _logistic(np.array(x), np.array(y, np.float64))
-    return Model(index, toxic, ids, slope, shift, (sum(lone) + 0.5) / (len(lone) + 10))
+    return Model(index, toxic[near], ids[near], slope, shift, (lone.sum() + 0.5) / (len(lone) + 10))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -186,25 +223,17 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted, and the evidence: nearest examples with cosine and label."""
-    known = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_EXAMPLES vectors over MAX_TERMS terms
+    known = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_EXAMPLES vectors
 
     def make():
         model = known.value
-        seen: dict[tuple, tuple[float, list]] = {}
-
-        def one(text):
-            if model is None:
-                return 0.0, []
-            found = Counter(w for w in terms(text) if w in model.index.idf)
-            key = tuple(sorted(found.items()))
-            if key not in seen:
-                if len(seen) > 20_000:
-                    seen.clear()
-                seen[key] = model.score(found)
-            return seen[key]
 
         def call(ids, held_out, texts):
-            got = [one(t) for t in texts]
+            seen: dict[str | None, tuple[float, list]] = {}  # copies within a slice
+            for t in texts:
+                if t not in seen:
+                    seen[t] = (0.0, []) if model is None else model.score(Counter(terms(t)))
+            got = [seen[t] for t in texts]
             evidence = [[{"example": i, "cosine": s, "toxic": y} for i, s, y in g[1]] for g in got]
             return {"doc_id": ids, "held_out": held_out, "score": [g[0] for g in got], "predicted": [int(g[0] >= 0.5) for g in got], "evidence": evidence}
 

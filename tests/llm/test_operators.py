@@ -224,6 +224,21 @@ def test_language_id_and_toxicity_held_out(spark):
     assert all(scored[r[0]] == r[3] for r in rows)
 
 
+def test_toxicity_small_tables_and_rare_insults(spark):
+    rng = random.Random(11)
+    rows = [(i, words(rng, 30) + (" vermin" if i % 7 == 0 else ""), int(i % 7 == 0)) for i in range(70)]
+    df = spark.createDataFrame([r[:2] for r in rows] + [(900, words(rng, 30) + " vermin"), (901, words(rng, 30))], "doc_id long, text string")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(df, toxicity.learn(df, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))).collect()}
+    assert got[900] == 1 and got[901] == 0
+    # an insult in under 3 % of the toxic rows
+    rows = [(i, f"{words(rng, 12)} {'scum' if i % 4 == 0 else ''} {'vermin' if i in (1, 101, 301, 501) else ''}", int(i % 4 == 0 or i in (1, 101, 301, 501))) for i in range(800)]
+    df = spark.createDataFrame([r[:2] for r in rows] + [(900, "vermin"), (901, words(rng, 12))], "doc_id long, text string")
+    model = toxicity.learn(df, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    assert set(model.index.number) == {t for r in rows for t in toxicity.terms(r[1])}
+    got = {r["doc_id"]: r for r in toxicity.score(df, model).collect()}
+    assert {e["example"] for e in got[900]["evidence"]} == {1, 101, 301, 501} and got[900]["predicted"] == 1
+
+
 def test_nearest_is_exact():
     rng = random.Random(2)
     idf = {f"t{i}": 1.0 + i / 10 for i in range(30)}
