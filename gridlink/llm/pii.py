@@ -6,7 +6,7 @@ holder can turn them back (`invert`). Card numbers keep a right check digit, add
 dates. Candidates that don't validate stay as they are.
 
 Numbers and dates: two halves with moduli a and b; each round adds a SHA-256 value of the one to the other. Strings:
-each round shifts every letter or digit of one half within its class. No row moves and nothing is gathered.
+each round shifts every letter or digit of one half within its class; values of any length are permuted whole. No row moves and nothing is gathered.
 
 Defined cases: a null text stays null with no finding; empty and very long texts and texts without a finding come back
 unchanged; null doc_ids and repeated rows give one row each, alike; an empty table gives an empty result; a date that
@@ -26,8 +26,8 @@ from gridlink.llm.common import table
 KEY, ROUNDS = "gridlink-demo-key", 8
 #: In the order in which they are tried. secret: what stands before the value is kept.
 KINDS = {
-    "email": r"(?<![\w.%+-])[\w.%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
-    "secret": r"\b(?:AKIA[0-9A-Z]{16}\b|(?:token|password|passwd|secret|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?[^\s\"']{6,128})",
+    "email": r"(?<![\w.%+-])[\w.%+-]++@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
+    "secret": r"\b(?:AKIA[0-9A-Z]{16}\b|(?:token|password|passwd|secret|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?[^\s\"']{6,})",
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)",
     "date": r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])|(?<![\d/.])\d{2}/\d{2}/\d{4}(?![\d/])|(?<![\d/.])\d{2}\.\d{2}\.\d{4}(?!\d|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -76,15 +76,17 @@ def permute_text(s: Column, kind: str, key: str, invert: bool, small: int = 26)
     number of lower-case letters that stand for one another."""
     sign = -1 if invert else 1
 
-    def shifted(half: Column, stream: Column) -> Column:
-        def one(i: Column) -> Column:
-            c = F.substr(half, i, F.lit(1))
-            by = sign * F.conv(F.substr(stream, 2 * F.pmod(i - 1, F.lit(32)) + 1, F.lit(2)), 16, 10).cast("int")
+    def shifted(half: Column, seed: Column) -> Column:
+        def one(c: Column, i: Column, stream: Column) -> Column:
+            by = sign * F.conv(F.substr(F.get(stream, F.shiftright(i, 5)), 2 * (i % 32) + 1, F.lit(2)), 16, 10).cast("int")
             code = F.ascii(c)
             turned = lambda first, n: F.chr(first + F.pmod(code - first + by, F.lit(n)))
             return F.when(c.between("0", "9"), turned(48, 10)).when(c.between("a", chr(96 + small)), turned(97, small)).when(c.between("A", "Z"), turned(65, 26)).otherwise(c)
 
-        return F.when(F.length(half) == 0, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(half), F.lit(1))), one), ""))
+        # a hash of its own for every 32 characters, so that the shifts don't repeat within a long half
+        stream = F.transform(F.sequence(F.lit(0), F.floor(F.length(half) / 32).cast("int")), lambda j: F.when(j == 0, seed).otherwise(F.sha2(F.concat_ws("|", seed, j.cast("string")), 256)))
+        out = let(stream, lambda h: F.array_join(F.transform(F.split(half, ""), lambda c, i: one(c, i, h)), ""))
+        return F.when(F.length(half) == 0, "").otherwise(out)
 
     def step(acc: Column, i: Column) -> Column:
         odd = i % 2 == 1

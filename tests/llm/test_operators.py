@@ -196,6 +196,25 @@ def test_pii_round_trip(spark):
     assert "999.1.2.3" in got[2] and "2020-02-30" in got[3] and "000-12-3456" in got[3] and "2020-02-29" not in got[3]
 
 
+def test_pii_long_values_are_permuted_whole(spark):
+    rng = random.Random(13)
+    alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789-_."
+    head = "".join(rng.choices(alphabet, k=128))
+    long = [head + "".join(rng.choices(alphabet, k=n)) for n in (112, 112, 20_000)]
+    local = "".join(rng.choices("abcdefgh.", k=90)) + "x"
+    texts = [f'token = "{v}" end' for v in long] + [f"write to {local}@mail.example.com now", "token = " + "a" * 240]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = pii.pseudonymise(df).cache()
+    got = [r["text"] for r in out.orderBy("doc_id").collect()]
+    assert [r["text"] for r in pii.pseudonymise(out, invert=True).orderBy("doc_id").collect()] == texts
+    values = [g.split('"')[1] for g in got[:3]]
+    for v, w in zip(long, values, strict=True):
+        assert len(v) == len(w) and all(v[i : i + 16] != w[i : i + 16] for i in range(0, len(v) - 15, 16))
+    assert values[0][:128] != values[1][:128]
+    assert local not in got[3] and got[3].endswith("@mail.example.com now")
+    assert len({got[4][8:][i : i + 32] for i in range(0, 240, 32)}) == 8
+
+
 def test_decontamination(spark):
     rng = random.Random(5)
     items = [words(rng, 40) for _ in range(3)] + ["short one here", None, ""]
