@@ -1,15 +1,17 @@
 """Operator 8: benchmark decontamination by q-gram lemma filtering.
 
-Texts and items are normalised (lower case; runs of what is no letter or digit become one space). Each item is cut
-into overlapping regions of `region` bytes. A region of m bytes that a text holds with at most e edits shares at least
+Texts and items are normalised (lower case; runs of what is no letter or digit become one space). Every part of
+`region` bytes of an item is a region, whatever byte it begins at, so a verbatim quote of `region` normalised bytes or
+more is always found. A region of m bytes that a text holds with at most e edits shares at least
 m + 1 - q (e + 1) q-grams with it in a band of e + 1 neighbouring diagonals; bands overlap by half, of twice that width, so no
-match is split. Regions that reach the bound are verified by banded alignment, so nothing rests on the count alone.
+match is split. Each item's q-grams are held once, and a window over their places in a band counts for all its regions.
+Regions that reach the bound are verified by banded alignment, so nothing rests on the count alone.
 
 The benchmark is the stated query set: it goes to all executors in blocks of at most `max_bytes`, and each block is
 held against every whole document where it lies; no row moves.
 
 Defined cases: null and empty texts and items match nothing; items shorter than `region` are one region, items too
-short for the bound to be positive must occur whole; null ids and repeated rows are matched row by row; of equally good
+short for the bound to be positive must occur whole, those under q bytes as whole words; null ids and repeated rows are matched row by row; of equally good
 places the first counts; an empty table gives an empty result. Only the named columns are read, so further columns
 can't clash.
 """
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from gridlink.llm.common import map_columns, table
 
-Q, REGION, STEP, ERROR_RATE, MAX_BYTES = 12, 100, 50, 0.05, 16 << 20
+Q, REGION, ERROR_RATE, MAX_BYTES = 12, 100, 0.05, 16 << 20
 _OTHER = re.compile(r"[\W_]+")
 
 
@@ -46,68 +48,83 @@ def grams(data: np.ndarray) -> np.ndarray:
     return h * np.uint64(0xD6E8FEB86659FD93)
 
 
-def edits(pattern: bytes, text: bytes, most: int) -> tuple[int, int] | None:
-    """Fewest edits, at most `most`, between the pattern and any part of the text, and where that part ends."""
-    at = text.find(pattern)
-    if at >= 0:
-        return 0, at + len(pattern)
-    t, big = np.frombuffer(text, np.uint8), most + 1
-    row = np.zeros(len(t) + 1, np.int64)
-    steps = np.arange(len(t) + 1)
-    for i, c in enumerate(pattern):
+def edits(patterns: np.ndarray, texts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row, the fewest edits between the pattern and any part of the text, most + 1 if more than `most`, and
+    where the first such part ends."""
+    row = np.zeros((len(texts), texts.shape[1] + 1), np.int16)
+    steps = np.arange(texts.shape[1] + 1, dtype=np.int16)
+    for i in range(patterns.shape[1]):
         new = np.empty_like(row)
-        new[0] = i + 1
-        new[1:] = np.minimum(row[:-1] + (t != c), row[1:] + 1)
-        row = np.minimum(np.minimum.accumulate(new - steps) + steps, big)
-        if row.min() >= big:
-            return None
-    end = int(row.argmin())
-    return (int(row[end]), end) if row[end] <= most else None
+        new[:, 0] = i + 1
+        np.minimum(row[:, :-1] + (texts != patterns[:, i : i + 1]), row[:, 1:] + 1, out=new[:, 1:])
+        new -= steps
+        np.minimum.accumulate(new, axis=1, out=new)
+        row = np.minimum(new + steps, most + 1)
+    end = row.argmin(1)
+    return row[np.arange(len(row)), end], end
 
 
 @dataclass
 class Block:
-    """Regions of a block of items: their q-grams with (region, place), sorted."""
+    """A block of items: their q-grams with (item, place), sorted; items under Q bytes as they are."""
 
     items: list[int]
-    starts: list[int]
-    patterns: list[bytes]
+    data: list[bytes]
+    length: np.ndarray  # of the item's regions
+    short: dict[bytes, list[int]]
     keys: np.ndarray
     first: np.ndarray
-    region: np.ndarray
+    item: np.ndarray
     place: np.ndarray
     filter: np.ndarray
     budget: np.ndarray
     bound: np.ndarray
 
     @classmethod
-    def build(cls, rows: list[tuple[int, str]], region: int = REGION, step: int = STEP, error_rate: float = ERROR_RATE) -> Block:
-        items, starts, patterns = [], [], []
+    def build(cls, rows: list[tuple[int, str]], region: int = REGION, error_rate: float = ERROR_RATE) -> Block:
+        items, data, brief = [], [], {}
         for item, text in rows:
-            data = normalise(text)
-            last = max(0, len(data) - region)
-            for s in sorted({*range(0, last, step), last} if data else ()):
+            d = normalise(text)
+            if len(d) >= Q:
                 items.append(item)
-                starts.append(s)
-                patterns.append(data[s : s + region])
-        budget = np.array([int(error_rate * len(p)) for p in patterns], np.int64)
-        bound = np.array([len(p) + 1 - Q * (e + 1) for p, e in zip(patterns, budget, strict=True)], np.int64)
+                data.append(d)
+            elif d:
+                brief.setdefault(d, []).append(item)
+        length = np.array([min(region, len(d)) for d in data], np.int64)
+        budget = (error_rate * length).astype(np.int64)
+        bound = length + 1 - Q * (budget + 1)
         short = bound < 1
         budget[short] = 0
-        bound[short] = np.array([max(1, len(p) + 1 - Q) for p, s in zip(patterns, short, strict=True) if s], np.int64)
-        keys = [grams(np.frombuffer(p, np.uint8)) for p in patterns]
+        bound[short] = length[short] + 1 - Q
+        keys = [grams(np.frombuffer(d, np.uint8)) for d in data]
         flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
         order = np.argsort(flat, kind="stable")
         unique, first = np.unique(flat[order], return_index=True)
         held = np.zeros(1 << 22, bool)
         held[unique >> np.uint64(42)] = True
-        region_of = np.repeat(np.arange(len(keys)), [len(k) for k in keys])[order]
+        item_of = np.repeat(np.arange(len(keys)), [len(k) for k in keys])[order]
         place = np.concatenate([np.arange(len(k)) for k in keys])[order] if keys else np.zeros(0, np.int64)
-        return cls(items, starts, patterns, unique, np.append(first, len(flat)), region_of, place, held, budget, bound)
+        return cls(items, data, length, brief, unique, np.append(first, len(flat)), item_of, place, held, budget, bound)
 
     def find(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int, int]]:
         """(row, item, start, end, regions, edits) for each row of texts and item it holds a region of."""
         data = [normalise(t) for t in texts]
+        return self._short(data) + self._long(data)
+
+    def _short(self, data: list[bytes]) -> list[tuple[int, int, int, int, int, int]]:
+        out = []
+        sizes = {d.count(b" ") + 1 for d in self.short}
+        for i, d in enumerate(data if sizes else ()):
+            words = d.split(b" ")
+            there = {p for n in sizes for k in range(len(words) - n + 1) if (p := b" ".join(words[k : k + n])) in self.short}
+            for p in sorted(there):
+                at = b" ".join([b"", d, b""]).find(b" ".join([b"", p, b""]))
+                out += [(i, item, at, at + len(p), 1, 0) for item in self.short[p]]
+        return out
+
+    def _long(self, data: list[bytes]) -> list[tuple[int, int, int, int, int, int]]:
+        if not len(self.keys):
+            return []
         sizes = np.array([len(d) + 1 for d in data])
         begins = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
         whole = np.frombuffer(b"\x00".join([*data, b""]), np.uint8)
@@ -122,37 +139,68 @@ class Block:
         many = self.first[slot + 1] - self.first[slot]
         source = np.repeat(self.first[slot], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         at = np.repeat(at, many)
-        region, place = self.region[source], self.place[source]
+        item, place = self.item[source], self.place[source]
         row = np.searchsorted(begins, at, "right") - 1
-        diagonal = at - begins[row] - place + (1 << 20)  # where the region would begin in the text; shifted to be positive
-        width = 2 * (self.budget[region] + 1)
-        found: dict[tuple[int, int], list] = {}
-        tried: set = set()
+        far = 1 << 40
+        diagonal = at - begins[row] - place + far  # where the item would begin in the text; shifted to be positive
+        width = 2 * (self.budget[item] + 1)
+        found: dict[tuple[int, int], dict[int, tuple[int, int, int]]] = {}  # of a row and item: region's begin -> edits, start, end
         for shift in (0, 1):
-            band = (diagonal + shift * (self.budget[region] + 1)) // width
-            order = np.lexsort((place, band, region, row))
-            r, g, b, p = row[order], region[order], band[order], place[order]
-            new = np.ones(len(r), bool)
-            new[1:] = (r[1:] != r[:-1]) | (g[1:] != g[:-1]) | (b[1:] != b[:-1])
-            distinct = new.copy()
+            band = (diagonal + shift * (self.budget[item] + 1)) // width
+            order = np.lexsort((place, band, item, row))
+            r, g, b, p = row[order], item[order], band[order], place[order]
+            same = np.zeros(len(r), bool)
+            same[1:] = (r[1:] == r[:-1]) & (g[1:] == g[:-1]) & (b[1:] == b[:-1])
+            distinct = ~same
             distinct[1:] |= p[1:] != p[:-1]
-            heads = np.flatnonzero(new)
-            counts = np.add.reduceat(distinct.astype(np.int64), heads)
-            for h in heads[counts >= self.bound[g[heads]]].tolist():
+            group = np.cumsum(~same)[distinct]
+            r, g, b, p = r[distinct], g[distinct], b[distinct], p[distinct]
+            # a window of as many places as the bound asks for lies in the regions that begin from `low` to `high`
+            last = np.arange(len(r)) + self.bound[g] - 1
+            head = np.flatnonzero(last < len(r))
+            head = head[group[last[head]] == group[head]]
+            m = self.length[g[head]]
+            low = np.maximum(0, p[last[head]] - (m - Q))
+            high = np.minimum(p[head], np.array([len(d) for d in self.data])[g[head]] - m)
+            head, low, high = head[low <= high], low[low <= high], high[low <= high]
+            cuts = np.flatnonzero(np.diff(group[head])) + 1
+            for part in np.split(np.arange(len(head)), cuts) if len(head) else ():
+                h = head[part[0]]
                 i, k, e = int(r[h]), int(g[h]), int(self.budget[g[h]])
-                low = int(b[h]) * 2 * (e + 1) - shift * (e + 1) - (1 << 20)
-                if (i, k, low) in tried:
-                    continue
-                tried.add((i, k, low))
-                start = max(0, low - e)
-                if match := edits(self.patterns[k], data[i][start : low + 2 * (e + 1) + len(self.patterns[k]) + e], e):
-                    end = start + match[1]
-                    found.setdefault((i, self.items[k]), []).append((max(0, end - len(self.patterns[k])), end, k, match[0]))
-        return [(i, item, min(x[0] for x in m), max(x[1] for x in m), len({x[2] for x in m}), min(x[3] for x in m)) for (i, item), m in found.items()]
+                corner = int(b[h]) * 2 * (e + 1) - shift * (e + 1) - far - e
+                starts = np.unique(np.concatenate([np.arange(low[x], high[x] + 1) for x in part]))
+                self._verify(data[i], k, e, corner, starts, found.setdefault((i, self.items[k]), {}))
+        return [(i, item, min(x[1] for x in m.values()), max(x[2] for x in m.values()), len(m), min(x[0] for x in m.values())) for (i, item), m in found.items() if m]
+
+    def _verify(self, text: bytes, k: int, e: int, corner: int, starts: np.ndarray, best: dict[int, tuple[int, int, int]]) -> None:
+        """Adds the regions of item k, of those that begin at starts, that the text holds near corner + their begin."""
+        item, m = self.data[k], int(self.length[k])
+        span, rest = m + 2 * (e + 1) + 2 * e, []
+        for s in starts.tolist():
+            if s in best and best[s][0] == 0:
+                continue
+            begin = max(0, corner + s)
+            at = text.find(item[s : s + m], begin, max(0, corner + s + span))
+            if at >= 0:
+                best[s] = (0, at, at + m)
+            elif e:
+                rest.append(s)
+        for some in range(0, len(rest), 2048):
+            s = np.array(rest[some : some + 2048])
+            x = np.frombuffer(item, np.uint8)[s[:, None] + np.arange(m)]
+            at = corner + s[:, None] + np.arange(span)
+            there = (at >= 0) & (at < len(text))
+            y = np.where(there, np.frombuffer(text, np.uint8)[np.clip(at, 0, len(text) - 1)], np.uint16(256))
+            n, end = edits(x, y, e)
+            for j in np.flatnonzero(n <= e).tolist():
+                stop = min(len(text), int(corner + s[j] + end[j]))
+                new = (int(n[j]), max(0, stop - m), stop)
+                if int(s[j]) not in best or new < best[int(s[j])]:
+                    best[int(s[j])] = new
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_bytes: int = MAX_BYTES) -> DataFrame:
-    """doc_id, item_id, where in the normalised text the item's regions stand (in bytes), how many, and the fewest edits."""
+    """doc_id, item_id, where in the normalised text the item's regions stand (in bytes), how many regions (one for each byte they begin at), and the fewest edits."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text")).where("text IS NOT NULL")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0

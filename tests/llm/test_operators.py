@@ -226,6 +226,36 @@ def test_decontamination(spark):
     assert got == [(1, 1), (2, 0), (3, 2)]
 
 
+def test_decontamination_finds_quotes_at_every_place():
+    rng = random.Random(17)
+    item = decontamination.normalise(words(rng, 120))[:400].decode().strip()
+    block = decontamination.Block.build([(7, item), (8, "ox"), (9, "go up")])
+    noise = words(rng, 40)
+    quotes = [item[s : s + 100] for s in range(0, len(item) - 99) if item[s] != " " and item[s + 99] != " "]
+    assert {g[:2] for g in block.find([f"{noise} {q} {noise}" for q in quotes])} == {(i, 7) for i in range(len(quotes))}
+
+    def fewest(p, t):  # fewest edits between p and any part of t
+        row = [0] * (len(t) + 1)
+        for i, c in enumerate(p):
+            new = [i + 1]
+            for j, d in enumerate(t):
+                new.append(min(row[j] + (c != d), row[j + 1] + 1, new[j] + 1))
+            row = new
+        return min(row)
+
+    texts = []
+    for k in range(14):
+        q = list(item[17 * k : 17 * k + 104].strip())
+        for _ in range(k % 8):
+            j = rng.randrange(len(q))
+            q[j : j + 1] = rng.choice([[], ["z"], [q[j], "z"]])
+        texts.append(f"ab {''.join(q)} cd")
+    want = [min(fewest(item[s : s + 100], decontamination.normalise(t).decode()) for s in range(len(item) - 99)) for t in texts]
+    got = {g[0]: g[5] for g in block.find(texts)}
+    assert got == {i: n for i, n in enumerate(want) if n <= 5}
+    assert sorted(g[:4] for g in block.find(["an OX, here", "oxen", "", None, "let us go up", "go upper"])) == [(0, 8, 3, 5), (4, 9, 7, 12)]
+
+
 def test_language_id_and_toxicity_held_out(spark):
     rng = random.Random(7)
     pools = {"en": "the of and thing with".split(), "de": "der und schön keit ung".split(), "fr": "le été eux ment oui".split(), "es": "ñ ción el los mente".split()}
