@@ -1,8 +1,9 @@
 """A corpus pipeline of five stages, each written as Parquet and read again as the next one's documents.
 
 Every stage takes (spark, docs, sf_dir). All but the last return the columns of `documents`: quality rules drop what
-they reject, near-duplicate classes keep their member with the least doc_id (of rows that repeat this id, one), documents
-that hold a benchmark region are dropped, personal data become pseudonyms (n_chars is counted anew), and the last stage
+they reject, near-duplicate classes keep their member with the least doc_id (null ids come last; of members with this id
+the one with the least hashes of its text, of rows alike in id and text one), documents
+that hold a benchmark region are dropped, decided by each row's own text whatever its id, personal data become pseudonyms (n_chars is counted anew), and the last stage
 packs what is left into sequences. Null texts fail the quality rules; an empty table passes through empty.
 """
 
@@ -25,16 +26,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: one document of each class stays."""
-    found = near_dedup.classes(docs)
-    best = found.where("doc_id = class_id").select("doc_id").distinct()
-    lone = docs.where("doc_id IS NULL")
-    return docs.join(best, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS).unionByName(lone.select(*COLUMNS))
+    row = F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id")
+    found = near_dedup.row_classes(docs).select("component", *row, "h1", "h2")
+    key = ["no_id", "id", "h1", "h2"]
+    best = found.groupBy("component").agg(F.min(F.struct(*key)).alias("best")).select("best.*")
+    return docs.select(*COLUMNS, *row, *near_dedup.text_hashes()).join(best, key, "left_semi").dropDuplicates(key).select(*COLUMNS)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: documents that hold no region of a benchmark item."""
-    hits = cut(decontamination.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "hits")
-    return docs.join(hits, "doc_id", "left_anti").select(*COLUMNS)
+    keyed = docs.select(*COLUMNS, *near_dedup.text_hashes())
+    hits = decontamination.contaminated(keyed, table(spark, sf_dir, "benchmark"), carry=("h1", "h2"))
+    hits = cut(hits.select("h1", "h2").distinct(), "hits")
+    return keyed.join(hits, ["h1", "h2"], "left_anti").select(*COLUMNS)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

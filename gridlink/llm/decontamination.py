@@ -199,13 +199,13 @@ class Block:
                     best[int(s[j])] = new
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_bytes: int = MAX_BYTES) -> DataFrame:
-    """doc_id, item_id, where in the normalised text the item's regions stand (in bytes), how many regions (one for each byte they begin at), and the fewest edits."""
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_bytes: int = MAX_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The columns carry (of longs), doc_id, item_id, where in the normalised text the item's regions stand (in bytes), how many regions (one for each byte they begin at), and the fewest edits."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text")).where("text IS NOT NULL")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-total // max_bytes))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carry)
     out = None
     for k in range(n_blocks):
         mine = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == k)
@@ -214,14 +214,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         def make(block=block):
             find = block.value.find
 
-            def call(ids, texts):
+            def call(ids, texts, *more):
                 got = find(texts)
                 cols = list(zip(*got, strict=True)) or [()] * 6
-                return {"doc_id": [ids[i] for i in cols[0]], "item_id": cols[1], "start": cols[2], "end": cols[3], "n_regions": cols[4], "edits": cols[5]}
+                return {"doc_id": [ids[i] for i in cols[0]], "item_id": cols[1], "start": cols[2], "end": cols[3], "n_regions": cols[4], "edits": cols[5]} | {c: [x[i] for i in cols[0]] for c, x in zip(carry, more, strict=True)}
 
             return call
 
-        some = map_columns(rows, make, "doc_id long, item_id long, start long, end long, n_regions int, edits int")
+        some = map_columns(rows, make, "".join(f"{c} long, " for c in carry) + "doc_id long, item_id long, start long, end long, n_regions int, edits int")
         out = some if out is None else out.unionByName(some)
     return out
 

@@ -225,8 +225,20 @@ def _blocks(threshold: float, schema):
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class), class_rows."""
+    return row_classes(docs, id_col, text_col, threshold, bands, rows).select("doc_id", "class_id", "class_rows")
+
+
+def text_hashes(text_col: str = "text") -> tuple:
+    """h1, h2: what stands for a text in the results of row_classes()."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit("second")).alias("h2")
+
+
+def row_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """classes() by row: doc_id, h1, h2 (of the text), component (one number a class, also where classes share their
+    least doc_id), class_id, class_rows."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit("second")).alias("h2"), text.alias("text"))
+    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), *text_hashes(text_col), text.alias("text"))
     signed = cut(map_columns(keyed, _signer(bands, rows), "doc_id long, h1 long, h2 long, keys binary"), "signed")
     texts = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.min("keys").alias("keys"))
     texts = cut(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
@@ -252,8 +264,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     named = texts.select("h1", "h2", "node", "least", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = cut(named.join(further, "component", "left").withColumn("component", F.coalesce("last", "component")), "named")
     ids = named.groupBy("component").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_rows"))
-    named = named.join(ids, "component").select("h1", "h2", F.coalesce("class_id", -1 - F.col("component")).alias("class_id"), "class_rows")
-    return signed.select("doc_id", "h1", "h2").join(named, ["h1", "h2"]).select("doc_id", "class_id", "class_rows")
+    named = named.join(ids, "component").select("h1", "h2", "component", F.coalesce("class_id", -1 - F.col("component")).alias("class_id"), "class_rows")
+    return signed.select("doc_id", "h1", "h2").join(named, ["h1", "h2"]).select("doc_id", "h1", "h2", "component", "class_id", "class_rows")
 
 
 def _across(members: DataFrame, whole: DataFrame, found: DataFrame, threshold: float) -> DataFrame:

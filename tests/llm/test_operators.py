@@ -320,3 +320,20 @@ def test_pipeline(spark):
 
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     assert rows and sum(r["offset"] == 0 for r in rows) == len({r["sequence_id"] for r in rows})
+
+
+def test_pipeline_decides_by_row(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(19)
+    a, b, c, item = words(rng, 80), words(rng, 80), words(rng, 80), words(rng, 40)
+    held = f"{words(rng, 30)} {item} {words(rng, 30)}"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    form = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(None, a), (None, a), (4, a), (None, b), (None, b), (7, c), (7, held), (7, held), (8, held), (None, f"{held} x"), (9, words(rng, 80))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], form)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()), key=key)
+    assert got == sorted([(4, a), (None, b), (7, c), (7, held), rows[-1]], key=key)
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.benchmark_free(spark, docs, str(tmp_path)).collect()), key=key)
+    assert got == sorted([r for r in rows if item not in r[1]], key=key)
