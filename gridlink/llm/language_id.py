@@ -4,8 +4,8 @@ A text's whole lower-cased UTF-8 bytes are counted as trigrams in 2^13 hashed pl
 length. One-versus-one linear support vector machines first choose the language family; within it, one-versus-one
 machines of its languages choose the language. Each machine's margin is turned into a probability by a logistic fit.
 
-Fitting takes a bounded sample, at most `per_language` rows of each language chosen by a hash at a rate found by an
-aggregate over the labels, for at most MAX_LANGUAGES languages; features are counted on the executors. Prediction
+Fitting takes a sample of every language, about `per_language` of its distinct texts, chosen by a hash at a rate found by
+an aggregate over the labels; features are counted on the executors. Each pair of languages is one machine. Prediction
 reads every whole text, on any number of executors, and moves no rows.
 
 Defined cases: `und` with score 1 where the text is null or has no letter; where no label was learned, every other
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from gridlink.llm.common import bucket, map_columns, table
 
 PLACES = 1 << 13
-PER_LANGUAGE, MAX_LANGUAGES = 500, 64
+PER_LANGUAGE = 500
 #: Families by ISO 639-1 code; a language not listed is a family of its own.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "is"),
@@ -52,6 +52,24 @@ def features(text: str) -> np.ndarray:
     return x / np.float32(np.sqrt(x @ x) or 1)
 
 
+@dataclass
+class Rows:
+    """Feature vectors held by their places; only those of one machine are ever dense at once."""
+
+    places: list[np.ndarray]
+    n: list[np.ndarray]
+
+    def __getitem__(self, mask: np.ndarray) -> Rows:
+        at = np.flatnonzero(mask).tolist()
+        return Rows([self.places[i] for i in at], [self.n[i] for i in at])
+
+    def dense(self) -> np.ndarray:
+        x = np.zeros((len(self.places), PLACES), np.float32)
+        for i, (p, n) in enumerate(zip(self.places, self.n, strict=True)):
+            x[i, p] = np.sqrt(n.astype(np.float32))
+        return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)
+
+
 @dataclass
 class Machine:
     """One against another: weights, bias, and the logistic fit of the margin. Positive: `one`."""
@@ -91,9 +109,9 @@ class Stage:
     machines: list[Machine] = field(default_factory=list)
 
     @classmethod
-    def fit(cls, names: list[str], x: np.ndarray, y: np.ndarray) -> Stage:
+    def fit(cls, names: list[str], x: Rows, y: np.ndarray) -> Stage:
         pairs = itertools.combinations(sorted(names), 2)
-        return cls(sorted(names), [Machine.fit(a, b, x[m], y[m] == a) for a, b in pairs for m in [(y == a) | (y == b)]])
+        return cls(sorted(names), [Machine.fit(a, b, x[m].dense(), y[m] == a) for a, b in pairs for m in [(y == a) | (y == b)]])
 
     def choose(self, x: np.ndarray) -> tuple[str, float]:
         if len(self.names) == 1:
@@ -114,7 +132,7 @@ class Model:
     languages: dict[str, Stage]
 
     @classmethod
-    def fit(cls, x: np.ndarray, langs: list[str]) -> Model:
+    def fit(cls, x: Rows, langs: list[str]) -> Model:
         if not langs:
             return cls(None, {})
         y, f = np.array(langs), np.array([family_of(n) for n in langs])
@@ -141,24 +159,21 @@ def _featurer():
 
 
 def learn(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """labelled: lang, text, both not null. At most per_language rows of each language reach the driver."""
+    """labelled: lang, text, both not null. About per_language distinct texts of each language reach the driver."""
+    spark = labelled.sparkSession
     spread = F.pmod(F.xxhash64("text", F.lit("language")), F.lit(1 << 20))
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    sizes = labelled.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).collect()  # a row a language
     if not sizes:
-        return Model.fit(np.zeros((0, PLACES), np.float32), [])
-    rate = F.create_map(*(F.lit(v) for r in sizes for v in (r["lang"], int((1 << 20) * min(1.0, per_language / r["n"])))))
-    sample = labelled.where(spread < rate[F.col("lang")]).select("lang", "text")
-    rows = map_columns(sample, _featurer, "lang string, places array<int>, n array<int>").limit(per_language * 2 * len(sizes)).collect()
+        return Model.fit(Rows([], []), [])
+    rates = spark.createDataFrame([(r["lang"], int((1 << 20) * min(1.0, per_language / max(1, r["n"])))) for r in sizes], "lang string, rate long")
+    sample = labelled.join(F.broadcast(rates), "lang").where(spread < F.col("rate")).select("lang", "text").distinct()
+    rows = map_columns(sample, _featurer, "lang string, places array<int>, n array<int>").collect()
     rows.sort(key=lambda r: (r["lang"], r["places"], r["n"]))
-    x = np.zeros((len(rows), PLACES), np.float32)
-    for i, r in enumerate(rows):
-        x[i, r["places"]] = np.sqrt(np.array(r["n"], np.float32))
-    x /= np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)
-    return Model.fit(x, [r["lang"] for r in rows])
+    return Model.fit(Rows([np.array(r["places"], np.int32) for r in rows], [np.array(r["n"], np.int32) for r in rows]), [r["lang"] for r in rows])
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    known = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_LANGUAGES^2 machines of PLACES numbers
+    known = docs.sparkSession.sparkContext.broadcast(model)  # a machine of PLACES numbers for each pair of languages
 
     def make():
         guess = known.value.predict

@@ -273,6 +273,15 @@ def test_language_id_and_toxicity_held_out(spark):
     assert all(scored[r[0]] == r[3] for r in rows)
 
 
+def test_language_id_learns_every_language(spark):
+    rng = random.Random(23)
+    names = [f"x{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(66)]
+    rows = [(n, " ".join([f"{n}{rng.choice('aeiou')}{n}"] * 12)) for n in names for _ in range(2)] + [(names[0], "hot " * 30)] * 900
+    model = language_id.learn(spark.createDataFrame(rows, "lang string, text string"))
+    assert set(model.languages) == set(names)
+    assert all(model.predict(t)[0] == n for n, t in rows[:132])
+
+
 def test_toxicity_small_tables_and_rare_insults(spark):
     rng = random.Random(11)
     rows = [(i, words(rng, 30) + (" vermin" if i % 7 == 0 else ""), int(i % 7 == 0)) for i in range(70)]
