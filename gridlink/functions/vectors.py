@@ -24,3 +24,11 @@ def cosine(a: Column, b: Column) -> Column:
 
 def cosine01(a: Column, b: Column) -> Column:
     return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (cosine(a, b) + 1) / 2)), F.lit(0.0))
+
+
+def mean_pool(tokens: Column, mask: Column) -> Column:
+    """Mean by place of the token vectors whose mask is not 0; an error where the mask leaves none."""
+    kept = F.transform(F.filter(F.arrays_zip(tokens.alias("v"), mask.alias("m")), lambda x: x["m"] != 0), lambda x: x["v"])
+    total = F.aggregate(F.slice(kept, 2, F.greatest(F.size(kept), F.lit(1))), kept[0], lambda s, v: F.zip_with(s, v, lambda x, y: x + y))
+    mean = F.transform(total, lambda x: x / F.size(kept))
+    return F.when(F.size(kept) == 0, F.raise_error(F.lit("mean_pool: all tokens are masked")).cast("array<double>")).otherwise(mean)

@@ -306,8 +306,10 @@ def vec_l2(spark, sf_dir) -> DataFrame:
 
 @query("SELECT label, i AS place, round(avg(x), 6) AS mean FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings WHERE vec_id % 3 <> 0) GROUP BY label, i")
 def agg_mean_pool(spark, sf_dir) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id % 3 <> 0").select("label", F.posexplode("embedding").alias("place", "x"))
-    return rows.groupBy("label", "place").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("label", (F.col("vec_id") % 3 != 0).cast("int").alias("mask"), F.posexplode("embedding").alias("place", "x"))
+    held = F.when(F.col("mask") == 1, F.col("x").cast("double"))
+    pooled = rows.groupBy("label", "place").agg(F.round(F.avg(held), 6).alias("mean"), F.sum("mask").alias("n"))
+    return pooled.where("n > 0").drop("n")
 
 
 @query(f"WITH pairs AS ({fx.PAIRS}) SELECT category, count(*) AS n, string_agg(DISTINCT seed, ',' ORDER BY seed) AS seeds FROM pairs GROUP BY category")
