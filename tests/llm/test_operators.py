@@ -346,3 +346,40 @@ def test_pipeline_decides_by_row(spark, tmp_path):
     assert got == sorted([(4, a), (None, b), (7, c), (7, held), rows[-1]], key=key)
     got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.benchmark_free(spark, docs, str(tmp_path)).collect()), key=key)
     assert got == sorted([r for r in rows if item not in r[1]], key=key)
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    rng = random.Random(29)
+    stop = "the of and to with that be have".split()
+    prose = lambda n: " ".join(f"{words(rng, 6)} {rng.choice(stop)} {rng.choice(stop)}." for _ in range(n))
+    item = prose(6)
+    base = [prose(25) for _ in range(12)]
+    texts = [(i, t) for i, t in enumerate(base)]
+    texts += [(50, base[0]), (None, base[1]), (51, base[2].replace(base[2].split()[9], "other", 1)), (3, prose(25)), (None, prose(25)), (60, f"{base[4]} {item} {prose(20)}"), (None, f"{item} {prose(20)}"), (61, f"{prose(25)} mail the.one@mail.example.com or token = \"{'aB3' * 60}\" now."), (62, None), (63, ""), (64, "$$$ ### 1 2 3")]
+    form = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts], form)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    good = {r["text"] for r in corpus_pipeline.quality(spark, docs, str(tmp_path)).collect()}
+    assert set(base) <= good and not good & {None, "", "$$$ ### 1 2 3"}
+    left = [r for r in texts if r[1] in good]
+    sets, classes = [near_dedup.shingles(t) for _, t in left], list(range(len(left)))
+    for i in range(len(left)):
+        for j in range(i):
+            if near_dedup.similarity(sets[i], sets[j]) >= 0.8:
+                classes = [classes[j] if c == classes[i] else c for c in classes]
+    kept = [min((r for r, k in zip(left, classes, strict=True) if k == c), key=lambda r: (r[0] is None, r[0] or 0)) for c in set(classes)]
+    kept = [r for r in kept if decontamination.normalise(item) not in decontamination.normalise(r[1])]
+    assert len(kept) < len(left) - 3
+    private = pii.pseudonymise(spark.createDataFrame(kept, "doc_id long, text string")).collect()
+    assert not any("the.one" in r["text"] or "aB3aB3" in r["text"] for r in private)
+    tokenizer, want = Tokenizer.from_file(packing.tokenizer_file()), collections.Counter()
+    for r in private:
+        ids = [*tokenizer.encode(r["text"], add_special_tokens=False).ids, 1]
+        want[(r["doc_id"], len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))] += 1
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert collections.Counter((r["doc_id"], r["length"], r["ids_crc32"]) for r in got) == want
