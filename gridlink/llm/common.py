@@ -86,7 +86,7 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 def map_columns(df: DataFrame, make: Callable[[], Callable[..., dict]], schema: str | T.StructType) -> DataFrame:
     """mapInArrow over slices of bounded bytes. make() runs once in each task and returns the function that
-    takes the columns as Python lists and returns the result's columns."""
+    takes the columns as Python lists and returns the result's columns, as lists or arrays."""
     kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(kind)
 
@@ -98,7 +98,7 @@ def map_columns(df: DataFrame, make: Callable[[], Callable[..., dict]], schema:
             for part in _slices(batch):
                 if part.num_rows:
                     got = call(*(c.to_pylist() for c in part.columns))
-                    yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in arrow], schema=arrow)
+                    yield pa.RecordBatch.from_arrays([got[f.name].cast(f.type) if isinstance(got[f.name], pa.Array) else pa.array(got[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, kind)
 
@@ -106,7 +106,3 @@ def map_columns(df: DataFrame, make: Callable[[], Callable[..., dict]], schema:
 def bucket(column: str, modulus: int):
     """crc32 of an id as text, modulo; null ids count as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % modulus
-
-
-def prefixed(queries: dict, oracles: dict) -> tuple[dict, dict]:
-    return queries, {k: v for k, v in oracles.items() if v}

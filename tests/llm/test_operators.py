@@ -309,6 +309,87 @@ def test_nearest_is_exact():
         assert np.allclose(index.nearest(q, 15)[1], [s for s in sims if s > 0])
 
 
+def test_toxicity_equals_brute_force_cosine(spark):
+    """Scores of a whole table, end to end, against dense vectors in plain NumPy."""
+    from pyspark.sql import functions as F
+
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
+    model = toxicity.learn(docs, labels)
+    got = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
+    texts, toxic = {r["doc_id"]: r["text"] or "" for r in docs.collect()}, collections.defaultdict(int)
+    for r in labels.collect():
+        if r["doc_id"] in texts and r["toxic"] is not None:
+            toxic[texts[r["doc_id"]]] = max(toxic[texts[r["doc_id"]]], r["toxic"])
+    found = {t: collections.Counter(toxicity.terms(t)) for t in set(texts.values())}
+    vocabulary = {t: i for i, t in enumerate(sorted({w for x in toxic for w in found[x]}))}
+    df = np.zeros(len(vocabulary))
+    for t in texts.values():
+        for w in found[t]:
+            if w in vocabulary:
+                df[vocabulary[w]] += 1
+    held = np.zeros((len(toxic), len(vocabulary)), bool)
+    for i, x in enumerate(toxic):
+        held[i, [vocabulary[w] for w in found[x]]] = True
+    y = np.array(list(toxic.values()), float)
+    n, t, a = len(y), y.sum(), y @ held
+    b = held.sum(0) - a
+    chi2 = n * (a * (n - t - b) - b * (t - a)) ** 2 / ((a + b) * np.maximum(n - a - b, 1) * t * (n - t))
+    factor = (np.log((1 + len(texts)) / (1 + df)) + 1) * np.sqrt(1 + chi2)
+
+    def unit(counter):
+        v = np.zeros(len(vocabulary))
+        for w, k in counter.items():
+            if w in vocabulary:
+                v[vocabulary[w]] = (1 + np.log(k)) * factor[vocabulary[w]]
+        return v / max(np.linalg.norm(v), 1e-300)
+
+    examples = np.array([unit(found[x]) for x in toxic])
+    for i, text in texts.items():
+        sims = examples @ unit(found[text])
+        best = np.sort(sims)[::-1][: toxicity.NEIGHBOURS]
+        assert np.allclose([e["cosine"] for e in got[i]["evidence"]], best[best > 1e-12], atol=1e-9)
+        if len(best) and (sims >= best[-1] - 1e-9).sum() == len(best) and best[-1] > 0:  # no tie at the end
+            near = np.argsort(-sims)[: len(best)]
+            p = 1 / (1 + np.exp(-(model.slope * toxicity.votes(sims[near], y[near]) + model.shift)))
+            assert abs(p - got[i]["score"]) < 1e-6
+    # scores don't rest on ids, and where scores lie, so do the labels
+    other = docs.withColumn("doc_id", 10**6 - F.col("doc_id"))
+    again = toxicity.score(other, toxicity.learn(other, labels.withColumn("doc_id", 10**6 - F.col("doc_id"))))
+    assert all(abs(r["score"] - got[10**6 - r["doc_id"]]["score"]) < 1e-9 for r in again.collect())
+
+
+def test_toxicity_is_calibrated_on_held_out_rows(spark):
+    for name, least in (("sf0.001", 2), ("sf0.1", 50)):
+        sf = f"/root/testdata/{name}"
+        labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+        got = toxicity.op1_toxicity(spark, sf).select("doc_id", "held_out", "score").collect()
+        assert len({round(r["score"], 9) for r in got}) >= least
+        held = [(r["score"], labels[r["doc_id"]]) for r in got if r["held_out"] and labels.get(r["doc_id"]) is not None]
+        if name == "sf0.1":
+            p, y = (np.array(c, float) for c in zip(*held, strict=True))
+            part = np.minimum((p * 10).astype(int), 9)
+            gap = sum(abs(p[part == k].mean() - y[part == k].mean()) * (part == k).mean() for k in np.unique(part))
+            assert gap < 0.05 and y.sum() > 50
+
+
+def test_toxicity_defined_cases(spark):
+    rng = random.Random(31)
+    rows = [(i, words(rng, 20) + (" vermin" if i % 3 == 0 else ""), "x") for i in range(60)]
+    rows += [(None, "vermin", "x"), (100, None, "x"), (101, "", "x"), (102, rows[1][1], "x"), (103, "vermin " * 30_000, "x"), (1, rows[1][1], "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), None) for i in range(60)] + [(102, 1, None), (None, 1, None), (2, None, None), (2, 0, None), (999, 1, None)], "doc_id long, toxic int, text string")
+    model = toxicity.learn(df, labels)
+    assert model.toxic[list(model.ids).index(1)] == 1  # an equal text is toxic
+    got = toxicity.score(df, model).collect()
+    assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
+    by_id = {r["doc_id"]: r for r in got}
+    assert by_id[100]["evidence"] == by_id[101]["evidence"] == [] and by_id[None]["predicted"] == by_id[103]["predicted"] == 1
+    small = toxicity.learn(df, labels, max_examples=20)
+    assert small.index.n == 20
+
+
 def test_empty_tables(spark):
     none = empty(spark)
     assert quality_rules.ledger(none).count() == 0
