@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -21,10 +23,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders and tables made by this process, by session; what is left of them goes when the process ends.
+_MADE: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset a local session (tests) takes a temporary
+    folder; on a cluster that would be another folder on each machine, so it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset; it must name a folder that all executors share")
         root = f"file://{tempfile.gettempdir()}/gridlink-scratch"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)
@@ -32,7 +41,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/gridlink-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/gridlink-{name}-{uuid.uuid4().hex}"
+    if not _MADE:
+        atexit.register(_remove_all, spark)
+    _MADE.add(path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _MADE.discard(path)
+
+
+def _remove_all(spark: SparkSession) -> None:
+    """Results are read lazily, so their tables can't go before the process does."""
+    with contextlib.suppress(Exception):  # the session may be gone; then whoever owns the folder cleans it
+        if spark.sparkContext._jsc is not None:
+            for path in list(_MADE):
+                _remove(spark, path)
 
 
 def cut(df: DataFrame, name: str, sort_by: list[str] | None = None) -> DataFrame:
@@ -49,9 +76,7 @@ def drop(df: DataFrame) -> None:
     """Removes the files of a table made by cut() that nothing reads any more."""
     path = getattr(df, "scratch", None)
     if path:
-        jvm, spark = df.sparkSession._jvm, df.sparkSession
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _remove(df.sparkSession, path)
 
 
 def release(spark: SparkSession) -> None:
@@ -65,7 +90,8 @@ def arrow_of(schema: str) -> pa.Schema:
     return to_arrow_schema(T._parse_datatype_string(schema))
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most SLICE_BYTES of text, or of one row."""
     wide = [c for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type)]
     rows = batch.num_rows
     if not wide or sum(c.nbytes for c in wide) <= SLICE_BYTES:
@@ -95,7 +121,7 @@ def map_columns(df: DataFrame, make: Callable[[], Callable[..., dict]], schema:
 
         call = make()
         for batch in batches:
-            for part in _slices(batch):
+            for part in slices(batch):
                 if part.num_rows:
                     got = call(*(c.to_pylist() for c in part.columns))
                     yield pa.RecordBatch.from_arrays([got[f.name].cast(f.type) if isinstance(got[f.name], pa.Array) else pa.array(got[f.name], f.type) for f in arrow], schema=arrow)
