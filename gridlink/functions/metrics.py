@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The reasons that figures state.
 NO_PREDICTED, NO_ACTUAL = "no predicted positives", "no actual positives"
 BOTH_ZERO = "precision and recall are both zero"
 
@@ -28,11 +29,6 @@ def f1(p: Column, r: Column) -> Column:
 
 
 def delta(candidate: Column, baseline: Column) -> Column:
+    # The reasons' texts.
     reason = F.when(baseline["value"].isNull(), F.concat(F.lit("baseline F1 is undefined: "), baseline["undefined_reason"])).otherwise(F.concat(F.lit("candidate F1 is undefined: "), candidate["undefined_reason"]))
     return metric(candidate["value"] - baseline["value"], reason)
-
-
-def percentile(sorted_values: Column, fraction: float) -> Column:
-    """The element at floor(fraction * n) of a sorted array, the last at most."""
-    n = F.size(sorted_values)
-    return F.when(n > 0, F.get(sorted_values, F.least(n - 1, F.floor(F.lit(fraction) * n).cast("int"))))

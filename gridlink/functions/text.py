@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,6 +29,11 @@ def normalise(name: Column) -> Column:
     return F.trim(F.regexp_replace(plain, r"(?U)[\s\x1c-\x1f]+", " "))
 
 
+def plain_normalise(name: str | None) -> str:
+    """normalise() of one name, without Spark."""
+    return " ".join("".join(c if c.isalnum() else " " for c in (name or "").casefold()).split())
+
+
 def tokens(name: Column) -> Column:
     """Distinct words of the normal form; none for an empty name."""
     return F.array_distinct(F.array_remove(F.split(normalise(name), " "), ""))
@@ -87,20 +93,119 @@ def token_set_ratio(a: str, b: str) -> float:
     return max(found)
 
 
+#: Cells of one comparison matrix; longer names are compared in smaller groups.
+_CELLS = 1 << 22
+
+
+def _codes(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points in rows, filled up with zeros, and the lengths."""
+    size = np.array([len(n) for n in names], np.int64)
+    wide = max(1, int(size.max(initial=0)))
+    return np.array(names, f"U{wide}").view(np.uint32).reshape(len(names), wide), size
+
+
+def _in_groups(compare, a: list[str], b: list[str]) -> np.ndarray:
+    """compare over groups of pairs of like lengths, so that one long name doesn't widen all rows."""
+    sizes = np.array([len(x) * len(y) + 1 for x, y in zip(a, b, strict=True)])
+    out, order, at = np.zeros(len(a)), np.argsort(sizes, kind="stable"), 0
+    while at < len(order):
+        end = at + 1
+        while end < len(order) and end - at < 1 << 14 and (end + 1 - at) * sizes[order[end]] <= _CELLS:
+            end += 1
+        some = order[at:end]
+        out[some] = compare([a[i] for i in some], [b[i] for i in some])
+        at = end
+    return out
+
+
+def _jaro_winkler_group(a: list[str], b: list[str]) -> np.ndarray:
+    x, n = _codes(a)
+    y, m = _codes(b)
+    reach = np.maximum(np.maximum(n, m) // 2 - 1, 0)[:, None]
+    place = np.arange(y.shape[1])
+    real = place < m[:, None]
+    taken, met, rows = np.zeros(y.shape, bool), np.zeros(x.shape, bool), np.arange(len(a))
+    for i in range(x.shape[1]):
+        free = (y == x[:, i : i + 1]) & real & ~taken & (np.abs(place - i) <= reach) & (i < n)[:, None]
+        first = free.argmax(1)
+        met[:, i] = free[rows, first]
+        taken[rows, first] |= met[:, i]
+    hits = met.sum(1)
+    # the matched characters of either side, in order, at the front
+    left = np.take_along_axis(x, np.argsort(~met, axis=1, kind="stable"), 1)
+    right = np.take_along_axis(y, np.argsort(~taken, axis=1, kind="stable"), 1)
+    wide = min(x.shape[1], y.shape[1])
+    swaps = ((left[:, :wide] != right[:, :wide]) & (np.arange(wide) < hits[:, None])).sum(1) // 2
+    some = np.maximum(hits, 1)
+    jaro = np.where(hits > 0, (hits / np.maximum(n, 1) + hits / np.maximum(m, 1) + (hits - swaps) / some) / 3, 0.0)
+    head = min(4, wide)
+    alike = (x[:, :head] == y[:, :head]) & (np.arange(head) < np.minimum(n, m)[:, None])
+    prefix = np.cumprod(alike, axis=1).sum(1)
+    return np.where(jaro > 0.7, jaro + 0.1 * prefix * (1 - jaro), jaro)
+
+
+def _indel_group(a: list[str], b: list[str]) -> np.ndarray:
+    x, n = _codes(a)
+    y, m = _codes(b)
+    real = np.arange(y.shape[1]) < m[:, None]
+    row = np.zeros((len(a), y.shape[1] + 1), np.int32)
+    for i in range(x.shape[1]):
+        same = (y == x[:, i : i + 1]) & real & (i < n)[:, None]
+        np.maximum(row[:, 1:], row[:, :-1] + same, out=row[:, 1:])
+        np.maximum.accumulate(row, axis=1, out=row)
+    total = n + m
+    return np.where(total > 0, 2 * row[:, -1] / np.maximum(total, 1), 1.0)
+
+
+def jaro_winkler_many(a: list[str], b: list[str]) -> np.ndarray:
+    """jaro_winkler() of each pair."""
+    return _in_groups(_jaro_winkler_group, a, b)
+
+
+def token_set_many(a: list[str], b: list[str]) -> np.ndarray:
+    """token_set_ratio() of each pair."""
+    words = {n: frozenset(n.split()) for n in {*a, *b}}
+    out, one, two, of = np.zeros(len(a)), [], [], []
+    for i, (p, q) in enumerate(zip(a, b, strict=True)):
+        x, y = words[p], words[q]
+        both = x & y
+        if both and (len(both) == len(x) or len(both) == len(y)):
+            out[i] = 1.0
+        elif x and y:
+            base = sorted(both)
+            left, right = (" ".join(base + sorted(s - both)) for s in (x, y))
+            pairs = [(left, right)]
+            if base:
+                head = " ".join(base)
+                pairs += [(head, left), (head, right)]
+            for s, t in pairs:
+                one.append(s)
+                two.append(t)
+                of.append(i)
+    if of:
+        np.maximum.at(out, np.array(of), _in_groups(_indel_group, one, two))
+    return out
+
+
+def _distinct(a: pd.Series, b: pd.Series) -> tuple[list[str], list[str], np.ndarray]:
+    """The batch's distinct pairs, and which of them each row has."""
+    pairs: dict[tuple[str, str], int] = {}
+    of = np.array([pairs.setdefault((x or "", y or ""), len(pairs)) for x, y in zip(a, b, strict=True)], np.int64)
+    return [p[0] for p in pairs], [p[1] for p in pairs], of
+
+
 @F.pandas_udf(T.DoubleType())
 def _fuzzy(a: pd.Series, b: pd.Series) -> pd.Series:
-    known: dict[tuple[str, str], float] = {}
-    out = []
-    for pair in zip(a, b, strict=True):
-        if pair not in known:
-            known[pair] = max(jaro_winkler(*pair), token_set_ratio(*pair)) if all(pair) else 0.0
-        out.append(known[pair])
-    return pd.Series(out, dtype="float64")
+    left, right, of = _distinct(a, b)
+    score = np.maximum(jaro_winkler_many(left, right), token_set_many(left, right))
+    given = np.array([bool(x) and bool(y) for x, y in zip(left, right, strict=True)], bool)
+    return pd.Series(np.where(given, score, 0.0)[of], dtype="float64")
 
 
 @F.pandas_udf(T.DoubleType())
 def jaro_winkler_column(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([jaro_winkler(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
+    left, right, of = _distinct(a, b)
+    return pd.Series(jaro_winkler_many(left, right)[of], dtype="float64")
 
 
 def fuzzy(a: Column, b: Column) -> Column:

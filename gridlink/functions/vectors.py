@@ -23,7 +23,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def cosine01(a: Column, b: Column) -> Column:
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (cosine(a, b) + 1) / 2)), F.lit(0.0))
+    """The cosine moved to 0..1; 0 where it is null."""
+    moved = (cosine(a, b) + 1) / 2
+    return F.when(moved.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), moved)))
 
 
 def mean_pool(tokens: Column, mask: Column) -> Column:

@@ -1,8 +1,15 @@
 """Resolution of two record sets: grid candidates, scores, best match, merge, and everything left with its reason.
 
-A record has side, source, ordinal, name, latitude, longitude, fields; (side, ordinal) is its key, since both sides may
-carry one source name. The grid join is an equi-join on the cell, for which the left side is repeated nine times; a
-dense cell is a skewed key that adaptive execution splits. A pair meets at exactly one offset, so nothing is deduplicated.
+A record has side, source, ordinal, name, latitude, longitude, fields; (side, source, ordinal) is its key, since both
+sides may carry one source name and a side may have several sources. The grid join is an equi-join on the cell, for
+which the left side's keys, coordinates and prepared names alone are repeated nine times; a dense cell is a skewed key
+that adaptive execution splits. A pair meets at exactly one offset, so nothing is deduplicated. Of each left record's
+candidates only the best one leaves a task, so what is shuffled after the join is bounded by the left side. Whole records
+are joined to the links alone, and the links are computed once for pairs, what is left, and the merged view.
+
+Defined cases: records without both coordinates meet nothing; null names score 0; of equally good candidates the nearer
+one, then the one with the lesser record id; an empty side leaves the other one unmatched; more columns than the named
+ones are ignored in results. Records of one side that repeat a (source, ordinal) are an error of the input.
 """
 
 from __future__ import annotations
@@ -10,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -42,11 +50,37 @@ class ScorerUnavailable(RuntimeError):
         self.name, self.reason = name, reason
 
 
+#: Scorers that need something beyond the library: a probe that says why not, or None, and a maker.
+OPTIONAL: dict[str, tuple[Callable[[], str | None], Callable[[], Scorer]]] = {}
+
+
+def register(scorer: Scorer) -> None:
+    """Makes a scorer of one's own known by its name; a name is given once."""
+    if scorer.name in known_scorers():
+        raise ValueError(f"a scorer named {scorer.name!r} is registered already")
+    SCORERS[scorer.name] = scorer
+
+
+def register_optional(name: str, probe: Callable[[], str | None], make: Callable[[], Scorer]) -> None:
+    OPTIONAL[name] = probe, make
+
+
+def known_scorers() -> list[str]:
+    from gridlink.operators import embedding  # noqa: F401  registers the optional ones
+
+    return sorted([*SCORERS, *OPTIONAL])
+
+
 def get_scorer(name: str) -> Scorer:
-    if name in ("embed-fp32", "embed-int8"):
-        raise ScorerUnavailable(name, "no model artefact is configured")
+    """Unknown: a ValueError that lists the names. Known, but not to be had here: ScorerUnavailable with the reason."""
+    known = known_scorers()
+    if name in OPTIONAL:
+        probe, make = OPTIONAL[name]
+        if reason := probe():
+            raise ScorerUnavailable(name, reason)
+        return make()
     if name not in SCORERS:
-        raise ValueError(f"unknown scorer {name!r}; known: {', '.join(sorted([*SCORERS, 'embed-fp32', 'embed-int8']))}")
+        raise ValueError(f"unknown scorer {name!r}; known: {', '.join(known)}")
     return SCORERS[name]
 
 
@@ -78,6 +112,12 @@ def prepared(records: DataFrame, scorer: Scorer) -> DataFrame:
     return records.withColumn("prepared", scorer.prepare(F.col("name")))
 
 
+def prepared_once(records: DataFrame, scorer: Scorer) -> DataFrame:
+    """prepared(), with each distinct name prepared once and looked up: for scorers whose preparation is dear."""
+    names = records.select(F.col("name").alias("_name")).distinct().withColumn("prepared", scorer.prepare(F.col("_name")))
+    return records.join(names, F.col("name").eqNullSafe(F.col("_name")), "left").drop("_name")
+
+
 def scored_pairs(left: DataFrame, right: DataFrame, scorer: Scorer, cell_size: float = CELL_SIZE) -> DataFrame:
     """Candidates with score and distance; names are prepared once for each record, not for each comparison."""
     pairs = candidate_pairs(prepared(with_identity(left), scorer), prepared(with_identity(right), scorer), cell_size)
@@ -92,10 +132,28 @@ def matches(score: Column, threshold: float) -> Column:
 
 def best_matches(scored: DataFrame, threshold: float) -> DataFrame:
     """For each left record its best candidate: highest score, then least distance, then least record id."""
-    order = W.partitionBy(F.col("l.ordinal")).orderBy(F.desc("score"), "distance", F.col("r.record_id"))
+    order = W.partitionBy(F.col("l.source"), F.col("l.ordinal")).orderBy(F.desc("score"), "distance", F.col("r.record_id"))
     return scored.where(matches(F.col("score"), threshold)).withColumn("rank", F.row_number().over(order)).where("rank = 1").drop("rank")
 
 
+def best_links(left: DataFrame, right: DataFrame, scorer: Scorer, threshold: float, cell_size: float = CELL_SIZE) -> DataFrame:
+    """l_source, l_ordinal and, where a candidate meets the threshold, score, distance, r_source, r_ordinal of the best
+    one: a row for each left record that has candidates. Of the records no more than this needs goes through the join."""
+    sides = []
+    for side, rows in (("l", left), ("r", right)):
+        rows = with_cell(prepared(with_identity(rows) if side == "r" else rows, scorer), cell_size).where("cell_row IS NOT NULL AND cell_col IS NOT NULL")
+        own = ["source", "ordinal", "latitude", "longitude", "prepared", *(["record_id"] if side == "r" else [])]
+        sides.append(rows.select(*(F.col(c).alias(f"{side}_{c}") for c in own), "cell_row", "cell_col"))
+    offsets = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    near = sides[0].withColumn("o", F.explode(offsets))
+    near = near.withColumns({"cell_row": F.col("cell_row") + F.col("o.i"), "cell_col": F.col("cell_col") + F.col("o.j")}).drop("o")
+    pairs = near.join(sides[1], ["cell_row", "cell_col"]).withColumn("score", scorer.score(F.col("l_prepared"), F.col("r_prepared")))
+    distance = identity.haversine_km(*(F.col(c) for c in ("l_latitude", "l_longitude", "r_latitude", "r_longitude")))
+    ranked = F.struct((-F.col("score")).alias("down"), distance.alias("distance"), F.col("r_record_id").alias("id"), F.col("r_source").alias("source"), F.col("r_ordinal").alias("ordinal"))
+    best = pairs.groupBy("l_source", "l_ordinal").agg(F.min(F.when(matches(F.col("score"), threshold), ranked)).alias("best"))
+    return best.select("l_source", "l_ordinal", (-F.col("best.down")).alias("score"), "best.distance", F.col("best.source").alias("r_source"), F.col("best.ordinal").alias("r_ordinal"))
+
+
 def merged(l: Column, r: Column) -> Column:  # noqa: E741
     """The better filled record's values first; of equally filled ones the lesser id's. Both sides' sources."""
     fill = [identity.populatedness(x["fields"], x["name"], x["latitude"], x["longitude"]) for x in (l, r)]
@@ -117,26 +175,38 @@ def merged(l: Column, r: Column) -> Column:  # noqa: E741
 
 @dataclass(frozen=True)
 class Resolution:
-    """pairs: l, r, score, distance, merged; unmatched: the records and a reason; occupancy: of the right side."""
+    """pairs: l, r, score, distance, merged; unmatched: the records and a reason; occupancy: of the right side; links:
+    what all of them are made of, kept until close()."""
 
     pairs: DataFrame
     unmatched: DataFrame
     occupancy: DataFrame
+    links: DataFrame
 
     @property
     def merged(self) -> DataFrame:
         single = self.unmatched.select("name", "latitude", "longitude", "fields", F.array("source").alias("sources"))
         return self.pairs.select("merged.*").unionByName(single)
 
+    def close(self) -> None:
+        self.links.unpersist()
+
+
+RECORD = ("side", "source", "ordinal", "name", "latitude", "longitude", "fields")
+
 
 def resolve(left: DataFrame, right: DataFrame, scorer: Scorer, threshold: float, cell_size: float = CELL_SIZE) -> Resolution:
-    scored = scored_pairs(left, right, scorer, cell_size)
-    best = best_matches(scored, threshold)
-    pairs = best.withColumn("merged", merged(F.col("l"), F.col("r")))
-    met = scored.groupBy(F.col("l.ordinal").alias("ordinal")).agg(F.max(matches(F.col("score"), threshold)).alias("matched"))
+    # recomputed where executors are lost; one row for each left record with candidates
+    links = best_links(left, right, scorer, threshold, cell_size).persist(StorageLevel.MEMORY_AND_DISK)
+    left, right = left.select(*RECORD), right.select(*RECORD)
+    found = links.where("r_ordinal IS NOT NULL")
+    wide = [with_identity(rows).select(F.struct(*RECORD, "record_id").alias(side), F.col("source").alias(f"{side}_source"), F.col("ordinal").alias(f"{side}_ordinal")) for side, rows in (("l", left), ("r", right))]
+    pairs = found.join(wide[0], ["l_source", "l_ordinal"]).join(wide[1], ["r_source", "r_ordinal"]).select("l", "r", "score", "distance")
+    pairs = pairs.withColumn("merged", merged(F.col("l"), F.col("r")))
     coords = identity.has_coordinates(F.col("latitude"), F.col("longitude"))
-    lefts = left.join(met, "ordinal", "left").where(~F.coalesce("matched", F.lit(False)))
-    lefts = lefts.withColumn("reason", F.when(~coords, NO_COORDINATES).when(F.col("matched").isNull(), NO_CANDIDATES).otherwise(BELOW_THRESHOLD)).drop("matched")
-    taken = best.select(F.col("r.ordinal").alias("ordinal")).distinct()
-    rights = right.join(taken, "ordinal", "left_anti").withColumn("reason", F.when(coords, NOT_SELECTED).otherwise(NO_COORDINATES))
-    return Resolution(pairs, lefts.select(*left.columns, "reason").unionByName(rights.select(*left.columns, "reason")), bucket_occupancy(right, cell_size))
+    met = links.select(F.col("l_source").alias("source"), F.col("l_ordinal").alias("ordinal"), F.col("r_ordinal").isNotNull().alias("matched"))
+    lefts = left.join(met, ["source", "ordinal"], "left").where(~F.coalesce("matched", F.lit(False)))
+    lefts = lefts.withColumn("reason", F.when(~coords, NO_COORDINATES).when(F.col("matched").isNull(), NO_CANDIDATES).otherwise(BELOW_THRESHOLD))
+    taken = found.select(F.col("r_source").alias("source"), F.col("r_ordinal").alias("ordinal")).distinct()
+    rights = right.join(taken, ["source", "ordinal"], "left_anti").withColumn("reason", F.when(coords, NOT_SELECTED).otherwise(NO_COORDINATES))
+    return Resolution(pairs, lefts.select(*RECORD, "reason").unionByName(rights.select(*RECORD, "reason")), bucket_occupancy(right, cell_size), links)

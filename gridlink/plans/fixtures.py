@@ -10,7 +10,7 @@ CELL, THRESHOLD = 0.0625, 0.5
 RECORDS = """select case when p_partkey % 2 = 0 then 'left' else 'right' end as side,
  case when p_partkey % 2 = 0 then 'left' else 'right' end as source, p_partkey as ordinal,
  case when p_partkey % 13 = 0 then null when p_partkey % 2 = 1 then concat(upper(p_name), ', ', p_type) else p_name end as name,
- case when p_partkey % 11 = 0 then null else cast((p_partkey * 7) % 640 as double) / 64.0 end as latitude,
+ case when p_partkey % 11 = 0 then null when p_partkey % 19 = 0 then cast(0.0005 as double) when p_partkey % 23 = 0 then cast(0.00001 as double) else cast((p_partkey * 7) % 640 as double) / 64.0 end as latitude,
  case when p_partkey % 17 = 0 then null else cast((p_partkey * 3) % 320 as double) / 64.0 - 2.5 end as longitude,
  p_brand as f_brand, case when p_partkey % 5 = 0 then '' else p_type end as f_type, cast(p_size as varchar(10)) as f_size
  from part"""
@@ -20,20 +20,20 @@ PAIRS = """select a.p_partkey as pair_no, a.p_name as left_name, concat(b.p_name
  case a.p_partkey % 4 when 0 then 'calibration' when 1 then 'sealed test' else 'development' end as role, a.p_partkey % 5 + 1 as seed
  from part a join part b on b.p_partkey = a.p_partkey + 1"""
 
-#: Arms of the frontier and divergence fixtures: published figures. (family, position, arm, f1, fp, rss, p50)
+#: Arms of the frontier and divergence fixtures: published figures. (family, position, arm, f1, fp, rss in bytes, p50 in seconds)
 ARMS = [
-    ("abbreviation", 0, "fp32", 0.769, 0.0, 275.3, 24.87),
-    ("abbreviation", 1, "fuzzy", 0.974, 5.0, 24.0, 0.96),
-    ("abbreviation", 2, "int8", 0.75, 1.0, 208.9, 24.71),
-    ("abbreviation", 3, "overlap", 1.0, 115.0, 22.5, 0.21),
-    ("transliteration", 0, "fp32", 1.0, 0.0, 275.3, 24.87),
-    ("transliteration", 1, "fuzzy", 0.961, 5.0, 24.0, 0.96),
-    ("transliteration", 2, "int8", 1.0, 1.0, 208.9, 24.71),
-    ("transliteration", 3, "overlap", 1.0, 115.0, 22.5, 0.21),
-    ("character noise", 0, "fp32", None, 0.0, 275.3, 24.87),
-    ("character noise", 1, "fuzzy", None, 0.0, 24.0, 0.96),
-    ("character noise", 2, "int8", None, 0.0, 208.9, 24.71),
-    ("character noise", 3, "overlap", None, 0.0, 22.5, 0.21),
+    ("abbreviation", 0, "fp32", 0.769, 0.0, 275300000.0, 2.487e-05),
+    ("abbreviation", 1, "fuzzy", 0.974, 5.0, 24000000.0, 9.6e-07),
+    ("abbreviation", 2, "int8", 0.75, 1.0, 208900000.0, 2.471e-05),
+    ("abbreviation", 3, "overlap", 1.0, 115.0, 22500000.0, 2.1e-07),
+    ("transliteration", 0, "fp32", 1.0, 0.0, 275300000.0, 2.487e-05),
+    ("transliteration", 1, "fuzzy", 0.961, 5.0, 24000000.0, 9.6e-07),
+    ("transliteration", 2, "int8", 1.0, 1.0, 208900000.0, 2.471e-05),
+    ("transliteration", 3, "overlap", 1.0, 115.0, 22500000.0, 2.1e-07),
+    ("character noise", 0, "fp32", None, 0.0, 275300000.0, 2.487e-05),
+    ("character noise", 1, "fuzzy", None, 0.0, 24000000.0, 9.6e-07),
+    ("character noise", 2, "int8", None, 0.0, 208900000.0, 2.471e-05),
+    ("character noise", 3, "overlap", None, 0.0, 22500000.0, 2.1e-07),
 ]
 EXPECTED = [("abbreviation", "fuzzy"), ("transliteration", "overlap"), ("character noise", "fp32")]
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridlink.functions import identity, metrics, text, vectors
 from gridlink.operators import evaluation as ev
+from gridlink.operators import ranks
 from gridlink.operators import resolve as rs
 from gridlink.plans import fixtures as fx
 
@@ -213,19 +214,18 @@ _SEALED = _counted("WHERE role = 'sealed test'", "category", "(SELECT score FROM
 
 @query(f"WITH {_SCORED}, {_SWEEP}, c AS ({_SEALED}), m2 AS (SELECT *, {_RATES} FROM c) SELECT category AS family, {_FLAT_SQL} FROM m2")
 def ev_sealed(spark, sf_dir) -> DataFrame:
-    """The threshold comes from the calibration split as a one-row join; the sealed split is judged by it."""
-    chosen = ev.select_threshold(_scored(spark, sf_dir, ev.CALIBRATION)).select("threshold")
-    sealed = _scored(spark, sf_dir, ev.SEALED).join(F.broadcast(chosen))  # one row
-    return _flat(ev.per_family(sealed, F.col("threshold")), "family")
+    """The threshold comes from the calibration split and is frozen; the sealed split is judged by it."""
+    pairs, scorer = fx.pairs(spark, sf_dir), rs.get_scorer("overlap")
+    return _flat(ev.evaluate_sealed(pairs, scorer, ev.freeze(ev.choose_threshold(pairs, scorer))), "family")
 
 
 _BY_SEED = f"c AS ({_counted('', 'category, seed')}), m AS (SELECT *, {_RATES} FROM c), s AS (SELECT *, {_F1} AS f1 FROM m)"
 
 
-@query(f"WITH {_SCORED}, {_BY_SEED} SELECT category AS family, round(stddev_samp(p), 6) AS precision_stdev, round(stddev_samp(r), 6) AS recall_stdev, round(stddev_samp(f1), 6) AS f1_stdev, count(DISTINCT seed) AS seeds FROM s GROUP BY category")
+@query(f"WITH {_SCORED}, {_BY_SEED} SELECT category AS family, round(stddev_samp(p), 6) AS precision_stdev, round(stddev_samp(r), 6) AS recall_stdev, round(stddev_samp(f1), 6) AS f1_stdev, CASE WHEN count(f1) < 2 THEN 'only ' || count(f1) || ' of ' || count(*) || ' seed(s) produced a defined F1 for this family' END AS f1_reason, count(DISTINCT seed) AS seeds FROM s GROUP BY category")
 def agg_variation(spark, sf_dir) -> DataFrame:
     rows = ev.variation(ev.per_family(_scored(spark, sf_dir), 0.5, ("seed",)))
-    return rows.select("family", *(F.round(f"{m}_stdev", 6).alias(f"{m}_stdev") for m in ("precision", "recall", "f1")), "seeds")
+    return rows.select("family", *(F.round(f"{m}_stdev.value", 6).alias(f"{m}_stdev") for m in ev.METRICS), F.col("f1_stdev.undefined_reason").alias("f1_reason"), "seeds")
 
 
 @query(f"WITH {_SCORED}, a AS ({_counted('', 'category')}), b AS ({_counted('', 'category', '0.6')}), am AS (SELECT *, {_RATES} FROM a), bm AS (SELECT *, {_RATES} FROM b) SELECT am.category AS family, round(bm.p - am.p, 9) AS precision_delta, round(bm.r - am.r, 9) AS recall_delta FROM am JOIN bm USING (category)")
@@ -246,9 +246,11 @@ def frontier(spark, sf_dir) -> DataFrame:
     return ev.frontier(fx.arms(spark)).select("family", "arm", "dominated_by", "status")
 
 
-@query(f"SELECT family, arm, CASE WHEN f1 IS NULL THEN 'f1 undefined' WHEN f1 < 0.8 THEN 'f1 below the floor' WHEN rss > 250 THEN 'memory above the ceiling' WHEN fp > 100 THEN 'false positives above the ceiling' END AS excluded_reason FROM {_ARMS}")
+@query(f"""SELECT family, arm, CASE WHEN f1 IS NULL THEN 'F1 is undefined for ''' || family || ''': no value — cannot be compared against the stated accuracy floor' WHEN f1 < 0.76 THEN 'F1 ' || printf('%.3f', f1) || ' is below the stated floor 0.760'
+ WHEN rss > 250e6 THEN 'peak RSS ' || printf('%.0f', rss) || ' bytes exceeds the stated ceiling 250000000 bytes' WHEN p50 > 2e-5 THEN 'warm p50 ' || printf('%.9f', p50) || 's exceeds the stated ceiling 0.000020000s'
+ WHEN fp > 100 THEN 'false positives ' || fp::BIGINT || ' exceeds the stated ceiling 100' END AS excluded_reason FROM {_ARMS}""")
 def flt_constraints(spark, sf_dir) -> DataFrame:
-    return ev.frontier(fx.arms(spark), min_f1=0.8, max_rss=250.0, max_fp=100.0).select("family", "arm", "excluded_reason")
+    return ev.frontier(fx.arms(spark), min_f1=0.76, max_rss=250e6, max_p50=2e-5, max_fp=100).select("family", "arm", "excluded_reason")
 
 
 _EXPECTED = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in fx.EXPECTED) + ") e(family, expected)"
@@ -265,19 +267,15 @@ def _events(spark, sf_dir):
 
 @query("WITH l AS (SELECT event_type, list_sort(list(value)) AS v FROM events WHERE value IS NOT NULL GROUP BY event_type) SELECT event_type, v[least(len(v) - 1, floor(0.5 * len(v))::BIGINT) + 1] AS p50, v[least(len(v) - 1, floor(0.99 * len(v))::BIGINT) + 1] AS p99 FROM l")
 def agg_percentile(spark, sf_dir) -> DataFrame:
-    """Ranks instead of gathered lists: a type's values are never in one array."""
-    from pyspark.sql.window import Window as W
+    """By running totals: a type's values are never in one task."""
+    places = {name: (F.least(F.col("n") - 1, F.floor(F.lit(f) * F.col("n"))),) for name, f in (("p50", 0.5), ("p99", 0.99))}
+    return ranks.order_statistics(_events(spark, sf_dir), "value", ("event_type",), places).drop("n")
 
-    rows = _events(spark, sf_dir).where("value IS NOT NULL").groupBy("event_type", "value").agg(F.count("*").alias("n"))
-    up = W.partitionBy("event_type").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.select("event_type", "value", F.sum("n").over(up).alias("upto"), F.sum("n").over(W.partitionBy("event_type")).alias("all"))
-    at = [F.min(F.when(F.col("upto") > F.least(F.col("all") - 1, F.floor(F.lit(f) * F.col("all"))), F.col("value"))).alias(name) for name, f in (("p50", 0.5), ("p99", 0.99))]
-    return rows.groupBy("event_type").agg(*at)
 
-
-@query("SELECT event_type, count(value) AS n, round(median(value), 6) AS median, min(value) AS least, max(value) AS most FROM events GROUP BY event_type")
+@query("SELECT event_type, count(value) AS n, round(median(value), 6) AS median, min(value) AS least, max(value) AS most FROM events WHERE value IS NOT NULL GROUP BY event_type")
 def agg_latency_summary(spark, sf_dir) -> DataFrame:
-    return _events(spark, sf_dir).groupBy("event_type").agg(F.count("value").alias("n"), F.round(F.percentile("value", 0.5), 6).alias("median"), F.min("value").alias("least"), F.max("value").alias("most"))
+    places = {"median": (F.floor((F.col("n") - 1) / 2), F.ceil((F.col("n") - 1) / 2)), "least": (F.lit(0),), "most": (F.col("n") - 1,)}
+    return ranks.order_statistics(_events(spark, sf_dir), "value", ("event_type",), places).withColumn("median", F.round("median", 6))
 
 
 _VEC = "v AS (SELECT a.vec_id, a.embedding::DOUBLE[] AS x, b.embedding::DOUBLE[] AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1), d AS (SELECT vec_id, list_dot_product(x, y) AS xy, sqrt(list_dot_product(x, x)) AS nx, sqrt(list_dot_product(y, y)) AS ny FROM v)"

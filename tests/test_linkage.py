@@ -13,6 +13,7 @@ from gridlink.sources import jsonl
 SCHEMA = "side string, source string, ordinal long, name string, latitude double, longitude double, fields map<string,string>"
 
 
+# The published example's records and result.
 def test_golden_files(spark, tmp_path):
     left, right = tmp_path / "left.jsonl", tmp_path / "right.jsonl"
     left.write_text('{"name": "Northbridge Hardware", "latitude": 0.31, "longitude": 32.58, "fields": {"category": "hardware"}}\n\n{"name": "Meridian Foods", "latitude": 0.42, "longitude": 32.61}\n')
