@@ -34,7 +34,12 @@ FAMILIES = {
     "romance": ("fr", "es", "it", "pt", "ro", "ca"),
     "slavic": ("ru", "pl", "cs", "uk", "bg", "sk", "sr", "hr", "sl"),
 }
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile(r"[^\W\d_]")  # letters, and numbers that are no digits
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether a character of Unicode's letter categories stands in the text; numbers such as ½ or Ⅷ are none."""
+    return any(m.group().isalpha() for m in _LETTER.finditer(text or ""))
 
 
 def family_of(lang: str) -> str:
@@ -139,7 +144,7 @@ class Model:
         return cls(Stage.fit(sorted(set(f)), x, f), {g: Stage.fit(sorted(set(y[f == g])), x[f == g], y[f == g]) for g in sorted(set(f))})
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not _LETTER.search(text):
+        if not has_letter(text):
             return "und", 1.0
         if self.families is None:
             return "und", 0.0
