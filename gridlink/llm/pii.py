@@ -1,21 +1,27 @@
 """Operator 5: format-preserving Feistel pseudonyms, in DataFrame expressions alone.
 
-A single pattern finds candidates; each is validated (Luhn sum, octets, calendar, number ranges) and then permuted
-within its own format by a keyed Feistel network, so equal values keep equal pseudonyms across documents and the key's
-holder can turn them back (`invert`). Card numbers keep a right check digit, addresses stay addresses, dates stay
-dates. Candidates that don't validate stay as they are.
+A single pattern finds candidates; each number or date is validated (Luhn sum, octets, calendar, number ranges), e-mail
+addresses, phone numbers and secrets by their form alone, and then permuted within its own format by a keyed Feistel
+network, so equal values keep equal pseudonyms across documents, different ones never share one, and the key's holder
+can turn them back (`invert`). Card numbers keep a right check digit, addresses stay addresses, dates stay dates, a date
+that only reads month first stays one. Candidates that don't validate stay as they are.
 
-Numbers and dates: two halves with moduli a and b; each round adds a SHA-256 value of the one to the other. Strings:
-each round shifts every letter or digit of one half within its class; values of any length are permuted whole. No row moves and nothing is gathered.
+Numbers and dates: two halves with moduli a and b, whose product is the number of values in the format; each round adds
+a SHA-256 value of the one to the other. Strings: each round shifts every letter or digit of one half within its class;
+values of any length are permuted whole. No row moves and nothing is gathered.
+
+The key is the session's setting `spark.gridlink.pii.key`. Where it is unset the query warns and takes a key that anyone
+can read here: enough for tests, not for real data.
 
 Defined cases: a null text stays null with no finding; empty and very long texts and texts without a finding come back
 unchanged; null doc_ids and repeated rows give one row each, alike; an empty table gives an empty result; a date that
-fits two orders is read day first; dates outside 1800-01-01 to 2238-01-25 are left alone. Only the named columns are
-read, so further columns can't clash.
+fits two orders is read day first; dates outside 1800-01-01 to 2238-01-25 (month first: to 2237-03) are left alone, as
+are octets with leading zeros. Only the named columns are read, so further columns can't clash.
 """
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +30,9 @@ from pyspark.sql import functions as F
 from gridlink.llm.common import table
 
 KEY, ROUNDS = "gridlink-demo-key", 8
+KEY_SETTING = "spark.gridlink.pii.key"
+#: The number of days is DAYS squared; of days after the twelfth of a month, LATE squared.
+DAYS, LATE = 400, 311
 #: In the order in which they are tried. secret: what stands before the value is kept.
 KINDS = {
     "email": r"(?<![\w.%+-])[\w.%+-]++@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
@@ -38,7 +47,6 @@ PATTERN = "|".join(KINDS.values())
 #: Each kind needs one of these; most texts have none and are done with this look.
 _QUICK = "[@0-9=:]|AKIA"
 _SECRET_HEAD = r"^(?:\w{5,8}\s{0,3}[=:]\s{0,3}[\"']?|AKIA)"
-_DATES = (("-", "yyyy-MM-dd"), ("/", "dd/MM/yyyy"), ("/", "MM/dd/yyyy"), (".", "dd.MM.yyyy"))
 
 
 def let(value: Column, body) -> Column:
@@ -71,9 +79,9 @@ def permute_numbers(left: Column, right: Column, a: int, b: int, kind: str, key:
     return F.aggregate(_order(invert), F.struct(left.cast("long").alias("l"), right.cast("long").alias("r")), step)
 
 
-def permute_text(s: Column, kind: str, key: str, invert: bool, small: int = 26) -> Column:
-    """A keyed permutation of strings that keeps each character's class: digit, lower, upper, or itself. small: the
-    number of lower-case letters that stand for one another."""
+def permute_text(s: Column, kind: str, key: str, invert: bool) -> Column:
+    """A keyed permutation of strings that keeps each character's class: digit, a-f, g-z, A-Z, or itself. So hexadecimal
+    strings stay such, and no others become some."""
     sign = -1 if invert else 1
 
     def shifted(half: Column, seed: Column) -> Column:
@@ -81,7 +89,7 @@ def permute_text(s: Column, kind: str, key: str, invert: bool, small: int = 26)
             by = sign * F.conv(F.substr(F.get(stream, F.shiftright(i, 5)), 2 * (i % 32) + 1, F.lit(2)), 16, 10).cast("int")
             code = F.ascii(c)
             turned = lambda first, n: F.chr(first + F.pmod(code - first + by, F.lit(n)))
-            return F.when(c.between("0", "9"), turned(48, 10)).when(c.between("a", chr(96 + small)), turned(97, small)).when(c.between("A", "Z"), turned(65, 26)).otherwise(c)
+            return F.when(c.between("0", "9"), turned(48, 10)).when(c.between("a", "f"), turned(97, 6)).when(c.between("g", "z"), turned(103, 20)).when(c.between("A", "Z"), turned(65, 26)).otherwise(c)
 
         # a hash of its own for every 32 characters, so that the shifts don't repeat within a long half
         stream = F.transform(F.sequence(F.lit(0), F.floor(F.length(half) / 32).cast("int")), lambda j: F.when(j == 0, seed).otherwise(F.sha2(F.concat_ws("|", seed, j.cast("string")), 256)))
@@ -141,20 +149,54 @@ def _ip(s: Column, key: str, invert: bool) -> Column:
         octets = [F.floor(x["l"] / 256), x["l"] % 256, F.floor(x["r"] / 256), x["r"] % 256]
         return F.concat_ws(".", *(o.cast("string") for o in octets))
 
-    return F.when(F.greatest(*part) <= 255, let(out, written)).otherwise(s)
+    return F.when((F.greatest(*part) <= 255) & ~s.rlike(r"(?:^|\.)0\d"), let(out, written)).otherwise(s)
+
+
+def _epoch() -> Column:
+    return F.lit("1800-01-01").cast("date")
+
+
+def _any_day(date: Column, key: str, invert: bool) -> Column:
+    """The date's pseudonym among all days of the range, or null beyond it."""
+    day = F.datediff(date, _epoch())
+    new = permute_numbers(F.floor(day / DAYS), day % DAYS, DAYS, DAYS, "date", key, invert)
+    moved = F.date_add(_epoch(), let(new, lambda x: x["l"] * DAYS + x["r"]).cast("int"))
+    return F.when((day >= 0) & (day < DAYS * DAYS), moved)
+
+
+def _late_day(date: Column, key: str, invert: bool) -> Column:
+    """The same among days after the twelfth of a month, counted on from the range's first: these can't be read as months."""
+    month = (F.year(date) - 1800) * 12 + F.month(date) - 1
+    place = F.datediff(date, _epoch()) - 12 * month - 12
+    new = permute_numbers(F.floor(place / LATE), place % LATE, LATE, LATE, "late", key, invert)
+
+    def start(month: Column) -> Column:  # of a month in this count; months have 18.436875 such days on average
+        return F.datediff(F.add_months(_epoch(), month), _epoch()) - 12 * month
+
+    def dated(n: Column) -> Column:
+        near = F.floor(n / 18.436875).cast("int")
+        at = F.when(start(near + 1) <= n, near + 1).when(start(near) <= n, near).otherwise(near - 1)
+        return let(at, lambda m: F.date_add(F.add_months(_epoch(), m), (n - start(m)).cast("int") + 12))
+
+    moved = let(let(new, lambda x: x["l"] * LATE + x["r"]), dated)
+    return F.when((place >= 0) & (place < LATE * LATE), moved)
+
+
+def _moved(s: Column, form: str, permuted, key: str, invert: bool) -> Column:
+    return let(F.try_to_timestamp(s, F.lit(form)).cast("date"), lambda d: permuted(d, key, invert))
 
 
 def _date(s: Column, key: str, invert: bool) -> Column:
     out = s
-    for sep, form in reversed(_DATES):
+    for sep, form, permuted in reversed(_DATES):
         there = F.contains(s, F.lit(sep)) & F.try_to_timestamp(s, F.lit(form)).isNotNull()
-        day = F.datediff(F.try_to_timestamp(s, F.lit(form)).cast("date"), F.lit("1800-01-01").cast("date"))
-        new = permute_numbers(F.floor(day / 400), day % 400, 400, 400, "date", key, invert)
-        moved = F.date_format(F.date_add(F.lit("1800-01-01").cast("date"), let(new, lambda x: x["l"] * 400 + x["r"]).cast("int")), form)
-        out = F.when(there, F.when((day >= 0) & (day < 160000), moved).otherwise(s)).otherwise(out)
+        out = F.when(there, F.coalesce(F.date_format(_moved(s, form, permuted, key, invert), form), s)).otherwise(out)
     return out
 
 
+_DATES = (("-", "yyyy-MM-dd", _any_day), ("/", "dd/MM/yyyy", _any_day), ("/", "MM/dd/yyyy", _late_day), (".", "dd.MM.yyyy", _any_day))
+
+
 def _ssn(s: Column, key: str, invert: bool) -> Column:
     area, group, serial = (F.split(s, "-")[i].cast("int") for i in range(3))
     good = (area > 0) & (area < 900) & (area != 666) & (group > 0) & (serial > 0)
@@ -182,8 +224,7 @@ def _email(s: Column, key: str, invert: bool) -> Column:
 def _secret(s: Column, key: str, invert: bool) -> Column:
     head = F.regexp_extract(s, _SECRET_HEAD, 0)
     value = F.substr(s, F.length(head) + 1, F.length(s))
-    new = F.when(value.rlike("^[0-9a-f]+$"), permute_text(value, "hex", key, invert, 6)).otherwise(permute_text(value, "secret", key, invert))
-    return F.concat(head, new)
+    return F.concat(head, permute_text(value, "secret", key, invert))
 
 
 _MAKERS = {"email": _email, "secret": _secret, "ip": _ip, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone}
@@ -218,11 +259,18 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY, invert
     return docs.withColumn(text_col, F.when(text.rlike(_QUICK), new).otherwise(text))
 
 
+def key_of(spark: SparkSession) -> str:
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        warnings.warn(f"{KEY_SETTING} is unset: pseudonyms are made with a key that is no secret", stacklevel=2)
+    return key or KEY
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the pseudonymised text, and the number of candidates found."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     docs = docs.withColumn("n_found", F.when(F.col("text").rlike(_QUICK), F.regexp_count("text", F.lit(PATTERN))).otherwise(0))
-    return pseudonymise(docs)
+    return pseudonymise(docs, key=key_of(spark))
 
 
 QUERIES = {"op5_pii": op5_pii}
