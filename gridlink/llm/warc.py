@@ -22,7 +22,6 @@ import base64
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -170,16 +169,29 @@ def _candidates(batches, arrow: pa.Schema):
     yield from done(rows)
 
 
-def _kept(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of a split's ranges, those that the chain from the split's entry reaches."""
-    pdf = pdf.sort_values("at")
-    at, succ, reached = pdf["at"].tolist(), pdf["succ"].tolist(), np.zeros(len(pdf), bool)
-    place, x = {v: i for i, v in enumerate(at)}, pdf["entry"].iloc[0]
+def _kept(rows: pa.Table) -> pa.Table:
+    """Of a split's ranges, those that the chain from the split's entry reaches. Arrow keeps null and large longs as they are."""
+    rows = rows.sort_by("at")
+    at, succ, reached = rows["at"].to_pylist(), rows["succ"].to_pylist(), np.zeros(rows.num_rows, bool)
+    place, x = {v: i for i, v in enumerate(at)}, rows["entry"][0].as_py()
     while x in place:
         i = place[x]
-        reached[i] = True
+        reached[i] = succ[i] is not None
         x = succ[i]
-    return pdf[reached & pdf["succ"].notna().to_numpy()].drop(columns=["entry"])
+    return rows.drop_columns(["entry"]).filter(pa.array(reached))
+
+
+def _split_of(places: DataFrame, splits: DataFrame) -> DataFrame:
+    """places (file, x, ...) with block, base and number of the split each lies in. A window over a file's splits and
+    places, a few numbers for each split, so that no split meets all places of its file."""
+    own = [c for c in places.columns if c not in ("file", "x")]
+    rows = places.select("file", "x", F.struct(*(own or ["x"])).alias("own"), F.lit(None).cast("struct<block:long,base:long,number:int>").alias("split"))
+    kind = rows.schema["own"].dataType
+    marks = splits.select("file", F.col("base").alias("x"), F.lit(None).cast(kind).alias("own"), F.struct("block", "base", "number").alias("split"))
+    # a split of no rows begins where the next one does; the later one has the places
+    order = W.partitionBy("file").orderBy("x", F.col("own").isNotNull(), F.col("split.number")).rowsBetween(W.unboundedPreceding, 0)
+    both = rows.unionByName(marks).withColumn("split", F.last("split", ignorenulls=True).over(order)).where("own IS NOT NULL AND split IS NOT NULL")
+    return both.select("file", "x", *(F.col(f"own.{c}").alias(c) for c in own), "split.block", "split.base", "split.number")
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -188,7 +200,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     rows = cut(_raw(spark, path).mapInArrow(lambda batches: _candidates(batches, arrow), _CANDIDATE), "candidates")
     splits = rows.groupBy("file", "block").agg(F.max("till").alias("size"))
     order = W.partitionBy("file").orderBy("block")
-    splits = cut(splits.withColumn("base", F.coalesce(F.sum("size").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))), "splits")
+    splits = splits.withColumn("base", F.coalesce(F.sum("size").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    splits = cut(splits.withColumn("number", F.row_number().over(order)), "splits")
     # entries: the first range after each file's first magic, and every range that some chain enters from another split
     based = rows.join(splits.select("file", "block", "base"), ["file", "block"])
     firsts = based.where("block = 0 AND at > 0").groupBy("file").agg(F.min("at").alias("x"))
@@ -202,10 +215,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         reached = cut(reached.unionByName(ahead).distinct(), "reached")
         onward = jumps.select("file", F.col("x").alias("next"), F.col("next").alias("next2"))
         jumps = cut(jumps.join(onward, ["file", "next"], "left").select("file", "x", F.col("next2").alias("next")), "jumps")
-    owner = splits.withColumnRenamed("base", "from")
-    entries = reached.join(owner, "file").where("x >= `from` AND x < `from` + size").groupBy("file", "block").agg(F.min(F.col("x") - F.col("from")).alias("entry"))
-    chained = rows.join(entries, ["file", "block"])
-    kept = chained.groupBy("file", "block").applyInPandas(_kept, _CANDIDATE)
+    entries = _split_of(reached, splits).groupBy("file", "block").agg(F.min(F.col("x") - F.col("base")).alias("entry"))
+    chained = rows.join(entries, ["file", "block"]).select(*rows.columns, "entry")
+    kept = chained.groupBy("file", "block").applyInArrow(_kept, _CANDIDATE)
     kept = cut(kept, "kept")
     out = kept.where("whole").select(*(x.split()[0] for x in FIELDS.split(", ")))
     if kept.where("NOT whole").limit(1).count():
@@ -214,16 +226,18 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _rebuilt(spark: SparkSession, path: str, cut_up: DataFrame, splits: DataFrame) -> DataFrame:
-    """Records whose block holds magic lines, from all their ranges."""
-    wanted = cut_up.join(splits, ["file", "block"]).select("file", (F.col("base") + F.col("at")).alias("first"), "span")
+    """Records whose block holds magic lines, from all their ranges. A record is looked for in the splits it lies in."""
+    wanted = cut_up.join(splits, ["file", "block"]).select("file", (F.col("base") + F.col("at")).alias("first"), "span", F.col("number").alias("begin"))
+    wanted = _split_of(wanted.withColumn("x", F.col("first") + F.col("span") - 1), splits)
+    wanted = wanted.select("file", "first", "span", F.explode(F.sequence("begin", "number")).alias("number"))
 
     def ranges(batches):
         for file, block, at, value in _splits(batches):
             yield pa.RecordBatch.from_pydict({"file": [file], "block": [block], "at": [at], "value": pa.array([value], pa.binary())})
 
-    parts = _raw(spark, path).mapInArrow(ranges, "file string, block long, at long, value binary").join(splits.select("file", "block", "base"), ["file", "block"])
+    parts = _raw(spark, path).mapInArrow(ranges, "file string, block long, at long, value binary").join(splits.select("file", "block", "base", "number"), ["file", "block"])
     parts = parts.withColumn("x", F.col("base") + F.col("at"))
-    mine = parts.join(wanted, "file").where("x >= first AND x < first + span")
+    mine = parts.join(wanted, ["file", "number"]).where("x >= first AND x < first + span")
     whole = mine.groupBy("file", "first").agg(F.array_sort(F.collect_list(F.struct("x", "value"))).alias("parts"), F.first("span").alias("span"))
 
     arrow = arrow_of(FIELDS)
