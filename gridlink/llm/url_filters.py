@@ -5,9 +5,10 @@ admits in level 1; the listed keys that level 1 wrongly admits in level 2; and s
 wrongly. Over the corpus's complete key universe membership is then exact, and a url is judged by probing bits
 that each executor holds, without a join.
 
-The bits are broadcast, so their size is computed before they are built; a list that would need more than
-`max_bytes` is joined instead, with the same result. Building reads the universe once per level, and what reaches
-the driver is the bits alone.
+The bits are broadcast, so their size is estimated before they are built: a universe whose cascade would need more than
+`max_bytes` is split by a hash of the key into shards, each with a cascade of its own, and the urls pass the shards one
+after the other, so no more than one shard is held at once. Building reads the universe once per level, and what reaches
+the driver is one shard's bits alone. Keys are told apart by two independent 64-bit hashes.
 
 Defined cases: a null url, or one without `://`, has an empty host and path, fits no rule and is allowed; an
 empty path fits no rule that has a path; repeated rows are each judged; an empty table gives an empty result; of
@@ -72,7 +73,7 @@ def members(levels: list[Level], h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
 
 
 def key_hashes(key: Column) -> tuple[Column, Column]:
-    return F.xxhash64(key), F.xxhash64(key, F.lit("second"))
+    return F.xxhash64(key), F.xxhash64(F.lit("second"), key)
 
 
 def _size(n_keys: int, fpr: float) -> tuple[int, int]:
@@ -80,19 +81,32 @@ def _size(n_keys: int, fpr: float) -> tuple[int, int]:
     return max(64, -(-math.ceil(n_keys * n_hashes / math.log(2)) // 64) * 64), n_hashes
 
 
-def build(universe: DataFrame, max_bytes: int = MAX_BYTES) -> list[Level] | None:
-    """The cascade over universe (h1 long, h2 long, listed boolean; distinct keys). None: it would need more than max_bytes."""
+def shards_needed(listed: int, others: int, max_bytes: int) -> int:
+    """Level 0 takes most of a cascade; all later ones hold its errors among the others, and half as many listed keys each."""
+    first = _first_rate(listed, others)
+    bits = _size(listed, first)[0] + 4 * (_size(max(1, int(others * first)), 0.5)[0] + _size(max(1, listed // 2), 0.5)[0])
+    return max(1, min(listed, -(-bits // (8 * max(1, max_bytes)))))
+
+
+def _first_rate(listed: int, others: int) -> float:
+    return max(min(0.5, listed / max(1, others) * math.sqrt(0.5)), 1e-6)
+
+
+def counts_of(universe: DataFrame) -> tuple[int, int]:
+    """Listed and other keys."""
     counts = {r["listed"]: r["n"] for r in universe.groupBy("listed").agg(F.count("*").alias("n")).collect()}
-    listed, others = counts.get(True, 0), counts.get(False, 0)
+    return counts.get(True, 0), counts.get(False, 0)
+
+
+def build(universe: DataFrame) -> list[Level]:
+    """The cascade over universe (h1 long, h2 long, listed boolean; distinct keys)."""
+    listed, others = counts_of(universe)
     levels: list[Level] = []
     held = True  # which side the next level encodes
     waiting = {True: listed, False: others}
     spark = universe.sparkSession
     while waiting[held]:
-        first = max(min(0.5, waiting[held] / max(1, waiting[not held]) * math.sqrt(0.5)), 1e-6)
-        n_bits, n_hashes = _size(waiting[held], first if not levels else 0.5)
-        if sum(x.n_bits for x in levels) + n_bits > 8 * max_bytes:
-            return None
+        n_bits, n_hashes = _size(waiting[held], 0.5 if levels else _first_rate(listed, others))
         level = Level(len(levels), n_bits, n_hashes, np.zeros(n_bits // 64, np.uint64))
         known, side = spark.sparkContext.broadcast(levels), held
 
@@ -109,8 +123,8 @@ def build(universe: DataFrame, max_bytes: int = MAX_BYTES) -> list[Level] | None
             return call
 
         ours = universe.where(F.col("listed") == side)
-        for r in map_columns(ours, setter, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).collect():
-            level.words[r["word"]] = np.uint64(r["bits"] & (2**64 - 1))
+        got = map_columns(ours, setter, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+        level.words[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
         levels = [*levels, level]
         known = spark.sparkContext.broadcast(levels)
 
@@ -153,46 +167,54 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
     keyed = urls.withColumn("keys", candidate_keys(F.col("host"), F.col("path"), lengths))
     kinds = sorted({v for v, _, _ in rules}, reverse=True)
     corpus = cut(keyed.select(F.explode("keys").alias("key")).distinct(), "keys")
-    hits = {}
+    h1, h2 = key_hashes(F.col("key"))
+    universes = {}
     for kind in kinds:
         listed = spark.createDataFrame([(h + p,) for v, h, p in rules if v == kind], "key string").distinct()
         both = corpus.select("key", F.lit(False).alias("listed")).unionByName(listed.select("key", F.lit(True).alias("listed")))
-        h1, h2 = key_hashes(F.col("key"))
-        universe = cut(both.groupBy("key").agg(F.max("listed").alias("listed")).select(h1.alias("h1"), h2.alias("h2"), "listed"), "universe")
-        hits[kind] = build(universe, max_bytes)
-        drop(universe)
-    if any(x is None for x in hits.values()):
-        return _joined(keyed, rules, default)
-    cascades = spark.sparkContext.broadcast(hits)
-    def prober():
-        def call(ids, hosts, paths, keys, a, b):
-            flat1, flat2 = (np.array([x for row in side for x in row or ()], np.int64).view(np.uint64) for side in (a, b))
-            by_kind = {kind: members(levels, flat1, flat2) for kind, levels in cascades.value.items()}
+        universes[kind] = cut(both.groupBy("key").agg(F.max("listed").alias("listed")).select(h1.alias("h1"), h2.alias("h2"), "listed"), "universe")
+    drop(corpus)
+    shards = max([1, *(shards_needed(*counts_of(u), max_bytes // len(kinds)) for u in universes.values())])
+    rows = keyed.withColumns({"rule": F.lit(None).cast("string"), "kind": F.lit(None).cast("string")})
+    held = None
+    for k in range(shards):
+        mine = F.pmod(F.col("h2"), F.lit(shards)) == k
+        cascades = spark.sparkContext.broadcast({kind: build(u.where(mine)) for kind, u in universes.items()})
+        probes = rows.withColumns({"a": F.transform("keys", lambda x: key_hashes(x)[0]), "b": F.transform("keys", lambda x: key_hashes(x)[1])})
+        rows = map_columns(probes, _prober(cascades, kinds, k, shards), "page_id long, host string, path string, keys array<string>, rule string, kind string")
+        if k < shards - 1:
+            rows = cut(rows, "probed")
+            if held is not None:
+                drop(held)
+            held = rows
+    for u in universes.values():
+        drop(u)
+    return rows.select("page_id", "host", "path", "rule", F.coalesce("kind", F.lit(default)).alias("verdict"))
+
+
+def _prober(cascades, kinds: list[str], shard: int, shards: int):
+    """Adds what one shard's cascades know to each row's best rule so far."""
+
+    def make():
+        def call(ids, hosts, paths, keys, rules, found, a, b):
+            flat1, flat2 = (np.array([x for row in side for x in row or ()], np.int64) for side in (a, b))
+            mine = np.mod(flat2, shards) == shard
+            flat1, flat2 = flat1.view(np.uint64), flat2.view(np.uint64)
+            by_kind = {kind: members(levels, flat1, flat2) & mine for kind, levels in cascades.value.items()}
             rule, verdict, at = [], [], 0
-            for row in keys:
-                best = None
+            for row, best, kind in zip(keys, rules, found, strict=True):
                 for key in row or ():
-                    for kind in kinds:  # "block" first
-                        if by_kind[kind][at] and (best is None or len(key) > len(best[0])):
-                            best = key, kind
+                    for k in kinds:  # "block" first
+                        if by_kind[k][at] and (best is None or (len(key), k) > (len(best), kind)):
+                            best, kind = key, k
                     at += 1
-                rule.append(best and best[0])
-                verdict.append(best[1] if best else default)
-            return {"page_id": ids, "host": hosts, "path": paths, "rule": rule, "verdict": verdict}
+                rule.append(best)
+                verdict.append(kind)
+            return {"page_id": ids, "host": hosts, "path": paths, "keys": keys, "rule": rule, "kind": verdict}
 
         return call
 
-    probes = keyed.select("page_id", "host", "path", "keys", F.transform("keys", lambda k: key_hashes(k)[0]), F.transform("keys", lambda k: key_hashes(k)[1]))
-    return map_columns(probes, prober, "page_id long, host string, path string, rule string, verdict string")
-
-
-def _joined(keyed: DataFrame, rules, default: str) -> DataFrame:
-    """The same result by joins, for lists whose cascade would be too large to broadcast."""
-    lists = keyed.sparkSession.createDataFrame([(h + p, v) for v, h, p in rules], "key string, kind string").groupBy("key").agg(F.max("kind").alias("kind"))
-    rows = keyed.withColumn("row", F.monotonically_increasing_id())
-    rows = cut(rows, "rows")
-    best = rows.select("row", F.explode("keys").alias("key")).join(lists, "key").groupBy("row").agg(F.max(F.struct(F.length("key").alias("n"), "kind", "key")).alias("best"))
-    return rows.join(best, "row", "left").select("page_id", "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.kind", F.lit(default)).alias("verdict"))
+    return make
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
