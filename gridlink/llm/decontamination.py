@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from gridlink.llm.common import map_columns, table
 
 Q, REGION, ERROR_RATE, MAX_BYTES = 12, 100, 0.05, 16 << 20
+#: Pairs of a text's and an item's place that are counted at once, unless a part of twice a region's reach has more.
+MAX_PLACES = 1 << 21
 _OTHER = re.compile(r"[\W_]+")
 
 
@@ -136,6 +138,19 @@ class Block:
         at, slot = at[good], slot[good]
         if not len(at):
             return []
+        found: dict[tuple[int, int], dict[int, tuple[int, int, int]]] = {}  # of a row and item: region's begin -> edits, start, end
+        # parts of the texts that overlap by more than a region can span, so that repetitive ones need bounded memory
+        reach = int(self.length.max()) + 4 * int(self.budget.max() + 1)
+        so_far, low = np.cumsum(self.first[slot + 1] - self.first[slot]), 0
+        while low < len(at):
+            high = np.searchsorted(so_far, (so_far[low - 1] if low else 0) + MAX_PLACES, "right")
+            high = int(max(high, np.searchsorted(at, at[low] + 2 * reach)))
+            self._match(data, begins, at[low:high], slot[low:high], found)
+            low = int(np.searchsorted(at, at[high] - reach)) if high < len(at) else high
+        return [(i, item, min(x[1] for x in m.values()), max(x[2] for x in m.values()), len(m), min(x[0] for x in m.values())) for (i, item), m in found.items() if m]
+
+    def _match(self, data: list[bytes], begins: np.ndarray, at: np.ndarray, slot: np.ndarray, found: dict) -> None:
+        """Adds to found the regions whose q-grams are among those at the places `at` of all texts."""
         many = self.first[slot + 1] - self.first[slot]
         source = np.repeat(self.first[slot], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         at = np.repeat(at, many)
@@ -144,7 +159,6 @@ class Block:
         far = 1 << 40
         diagonal = at - begins[row] - place + far  # where the item would begin in the text; shifted to be positive
         width = 2 * (self.budget[item] + 1)
-        found: dict[tuple[int, int], dict[int, tuple[int, int, int]]] = {}  # of a row and item: region's begin -> edits, start, end
         for shift in (0, 1):
             band = (diagonal + shift * (self.budget[item] + 1)) // width
             order = np.lexsort((place, band, item, row))
@@ -170,7 +184,6 @@ class Block:
                 corner = int(b[h]) * 2 * (e + 1) - shift * (e + 1) - far - e
                 starts = np.unique(np.concatenate([np.arange(low[x], high[x] + 1) for x in part]))
                 self._verify(data[i], k, e, corner, starts, found.setdefault((i, self.items[k]), {}))
-        return [(i, item, min(x[1] for x in m.values()), max(x[2] for x in m.values()), len(m), min(x[0] for x in m.values())) for (i, item), m in found.items() if m]
 
     def _verify(self, text: bytes, k: int, e: int, corner: int, starts: np.ndarray, best: dict[int, tuple[int, int, int]]) -> None:
         """Adds the regions of item k, of those that begin at starts, that the text holds near corner + their begin."""
@@ -209,7 +222,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     out = None
     for k in range(n_blocks):
         mine = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == k)
-        block = spark.sparkContext.broadcast(Block.build(sorted((r["item"], r["text"]) for r in mine.collect())))  # about max_bytes of items
+        block = spark.sparkContext.broadcast(Block.build(sorted(((r["item"], r["text"]) for r in mine.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))))  # about max_bytes of items
 
         def make(block=block):
             find = block.value.find
