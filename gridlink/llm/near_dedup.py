@@ -12,7 +12,8 @@ Buckets that still hold several components are then compared in blocks of bounde
 component of the least one with every other member, by an inverted list of the block's shingles, so each similarity is
 exact and a block emits no more than a forest of links between components. No link is lost and no bucket has to fit in one task.
 
-Similarity: Jaccard over sets of five-word shingles (lower case, parted at white space), 0.8 or more. A text of fewer
+Similarity: weighted Jaccard over five-word shingles (lower case, parted at white space), each weighted by how often it
+stands in the text: the sum of the lesser weights over the sum of the greater ones, 0.8 or more. A text of fewer
 than five words is one shingle. With 32 bands of 6 a pair of similarity 0.8 is missed with probability 6e-5.
 
 Defined cases: null text counts as empty; texts without words are alike; null doc_ids and repeated rows belong to
@@ -32,8 +33,9 @@ from pyspark.sql import functions as F
 from gridlink.llm.common import arrow_of, cut, drop, map_columns, table
 from gridlink.llm.components import components
 
-#: BLOCK: rows of either side that one comparison holds, on average.
-WORDS, THRESHOLD, BANDS, ROWS, BLOCK = 5, 0.8, 32, 6, 1024
+#: BLOCK, BLOCK_BYTES: rows and text of either side that one comparison holds, on average. PART: rows of a bucket dealt together.
+WORDS, THRESHOLD, BANDS, ROWS, BLOCK, BLOCK_BYTES, PART = 5, 0.8, 32, 6, 1024, 16 << 20, 512
+_COPY = np.uint64(0xA24BAED4963EE407)
 CACHED_WORDS = 700_000
 _POISSON = (np.cumsum([math.exp(-1) / math.factorial(i) for i in range(16)]) * 2.0**32).astype(np.uint64)
 _KNOWN: dict[str, bytes] = {}
@@ -45,13 +47,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """Distinct 64-bit hashes of the text's shingles, sorted."""
+def weighted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the text's shingles, sorted, and how often each stands there."""
     import xxhash
 
     words = (text or "").lower().split()
     if not words:
-        return np.zeros(1, np.uint64)
+        return np.zeros(1, np.uint64), np.ones(1, np.int64)
     new = set(words).difference(_KNOWN)
     if len(_KNOWN) + len(new) > CACHED_WORDS:
         _KNOWN.clear()
@@ -64,7 +66,18 @@ def shingles(text: str | None) -> np.ndarray:
     for k in range(min(WORDS, len(h))):
         out = (out ^ h[k : k + n]) * np.uint64(0x9FB21C651E98DF25)
         out ^= out >> np.uint64(29)
-    return np.unique(mix(out))
+    return np.unique(mix(out), return_counts=True)
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """The weighted shingles as a set, in which the copies of one shingle are elements of their own: the Jaccard
+    similarity of such sets is the weighted one."""
+    element, many = weighted(text)
+    if many.max() == 1:
+        return element
+    copy = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    element = np.repeat(element, many)
+    return np.sort(np.where(copy > 0, mix(element + copy.astype(np.uint64) * _COPY), element))
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -106,13 +119,13 @@ def _throw(out: np.ndarray, sets, weights, rows, ranks, k: int) -> None:
     first = np.repeat(np.array([a for a, _ in ranks], np.int64), [len(s) for s in sets])
     many = np.repeat(np.array([b - a for a, b in ranks], np.int64), [len(s) for s in sets])
     share = np.ones(len(element))
-    if weights:  # a weight w is floor(w) whole regions and one of which a part w - floor(w) counts
-        w = np.concatenate(weights)
+    w = np.concatenate(weights) if weights else share
+    if weights := (w != 1).any():  # a weight w is floor(w) whole regions and one of which a part w - floor(w) counts
         cells = np.maximum(1, np.ceil(w)).astype(np.int64)
         cell = np.arange(cells.sum()) - np.repeat(np.cumsum(cells) - cells, cells)
         share = np.minimum(1.0, np.repeat(w, cells) - cell)
         element, row, first, many = (np.repeat(x, cells) for x in (element, row, first, many))
-        element = np.where(cell > 0, mix(element + cell.astype(np.uint64) * np.uint64(0xA24BAED4963EE407)), element)
+        element = np.where(cell > 0, mix(element + cell.astype(np.uint64) * _COPY), element)
     rank = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
     region = mix(np.repeat(element, many) ^ mix(rank.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)))
     darts = np.searchsorted(_POISSON, region >> np.uint64(32), "right")
@@ -131,7 +144,8 @@ def _throw(out: np.ndarray, sets, weights, rows, ranks, k: int) -> None:
 def _signer(bands: int, rows: int):
     def make():
         def call(ids, h1, h2, texts):
-            sig = signatures([shingles(t) for t in texts], bands * rows).reshape(-1, bands, rows).astype(np.uint64)
+            found = [weighted(t) for t in texts]
+            sig = signatures([e for e, _ in found], bands * rows, [w for _, w in found]).reshape(-1, bands, rows).astype(np.uint64)
             key = np.tile(np.arange(bands, dtype=np.uint64), (len(sig), 1))
             for j in range(rows):
                 key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, j])
@@ -231,7 +245,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
 def text_hashes(text_col: str = "text") -> tuple:
     """h1, h2: what stands for a text in the results of row_classes()."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit("second")).alias("h2")
+    return F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("second"), text).alias("h2")
 
 
 def row_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -257,12 +271,14 @@ def row_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     both = pairs.join(whole, "node").join(whole.select(F.col("node").alias("rep"), F.col("text").alias("rep_text")), "rep")
     star = map_columns(both.select("node", "rep", "text", "rep_text"), _checker, "node long, rep long, similarity double")
     found = cut(components(star.where(F.col("similarity") >= threshold).select(F.col("node").alias("u"), F.col("rep").alias("v"))), "components")
-    links = cut(_across(members, whole, found, threshold), "links")
+    links = _across(members, whole, found, threshold)
     drop(whole)
     drop(members)
     further = components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("component"), F.col("component").alias("last"))
     named = texts.select("h1", "h2", "node", "least", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = cut(named.join(further, "component", "left").withColumn("component", F.coalesce("last", "component")), "named")
+    for done in (texts, found, links):
+        drop(done)
     ids = named.groupBy("component").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_rows"))
     named = named.join(ids, "component").select("h1", "h2", "component", F.coalesce("class_id", -1 - F.col("component")).alias("class_id"), "class_rows")
     return signed.select("doc_id", "h1", "h2").join(named, ["h1", "h2"]).select("doc_id", "h1", "h2", "component", "class_id", "class_rows")
@@ -270,13 +286,19 @@ def row_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def _across(members: DataFrame, whole: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
     """(a, b): links between components (node, component) of members (band, node, rep, n) of one bucket."""
-    held = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / PART)).cast("int").alias("salt")  # a large bucket's rows are dealt to many tasks
+    held = members.join(found, "node", "left").select("band", "node", "rep", "n", salt, F.coalesce("component", "node").alias("component"))
     held = cut(held, "held")
-    home = F.min(F.struct("node", "component"))["component"].alias("home")
-    mixed = held.groupBy("band").agg(home, F.min("component").alias("least"), F.max("component").alias("most"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    mixed = mixed.where("least <> most").select("band", "home", "blocks")
+    home, least, most = F.min(F.struct("node", "component")).alias("home"), F.min("component").alias("least"), F.max("component").alias("most")
+    mixed = held.groupBy("band", "salt").agg(home, least, most, F.max("n").alias("n"))
+    mixed = mixed.groupBy("band").agg(F.min("home")["component"].alias("home"), F.min("least").alias("least"), F.max("most").alias("most"), F.max("n").alias("n"))
+    mixed = cut(mixed.where("least <> most AND n > 2").select("band", "home", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / PART).cast("int") - 1)).alias("salt")), "mixed")
     # the least member has been compared with all others
-    rows = held.where("node <> rep AND n > 2").join(mixed, "band").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = held.where("node <> rep AND n > 2").join(mixed, ["band", "salt"]).select("band", "node", "component", "home", "salt")
+    sized = cut(rows.join(whole.select("node", F.octet_length("text").alias("size")), "node"), "rows")
+    sizes = sized.groupBy("band", "salt").agg(F.count("*").alias("n"), F.sum("size").alias("size")).groupBy("band").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
+    sizes = sizes.select("band", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("size") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    rows = sized.join(mixed.drop("home").join(sizes, "band"), ["band", "salt"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("asks", F.col("component") != F.col("home"))
     span = F.sequence(F.lit(0), F.col("blocks") - 1)
     role = F.when(F.col("asks") & (F.col("i") == F.col("own")), 3).otherwise(1)
@@ -285,7 +307,10 @@ def _across(members: DataFrame, whole: DataFrame, found: DataFrame, threshold: f
     placed = asked.unionByName(asking).join(whole, "node").select("band", "i", "j", "component", "role", "text")
     placed = placed.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
     kind = "a long, b long"
-    return placed.mapInArrow(_blocks(threshold, arrow_of(kind)), kind).distinct()
+    links = cut(placed.mapInArrow(_blocks(threshold, arrow_of(kind)), kind).distinct(), "links")
+    for done in (held, mixed, sized):
+        drop(done)
+    return links
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
