@@ -179,6 +179,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits", "n_lines", "n_digits", "n_stutter")
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of policy v1 rejects, in all and alone, over the whole ledger."""
+    return ablations(ledger(table(spark, sf_dir, "documents")))
+
+
 def ledger_sql(source: str) -> str:
     """The ledger of `source` (doc_id, text; distinct ids) in DuckDB SQL."""
     fails = " + ".join(f"CASE WHEN {r.fails} THEN {1 << r.bit} ELSE 0 END" for r in RULES)
@@ -201,5 +206,11 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
        (fail_bits & {V1.mask}) = 0 AS kept, fail_bits, n_lines, n_digits, n_stutter FROM f"""
 
 
-QUERIES = {"op10_quality_rules": op10_quality_rules}
-ORACLES = {"op10_quality_rules": ledger_sql("documents")}
+_BITS = ", ".join(f"('{r.name}', {1 << r.bit})" for r in RULES if r.name in V1.rules)
+ABLATIONS = f"""
+SELECT rule, sum(((fail_bits & bit) <> 0)::INT)::BIGINT AS n_failed, sum(((fail_bits & {V1.mask}) = bit)::INT)::BIGINT AS n_alone,
+       sum(((fail_bits & {V1.mask}) <> 0)::INT)::BIGINT AS n_rejected
+FROM ({ledger_sql("documents")}) l, (VALUES {_BITS}) r(rule, bit) GROUP BY rule"""
+
+QUERIES = {"op10_quality_rules": op10_quality_rules, "quality_ablations": quality_ablations}
+ORACLES = {"op10_quality_rules": ledger_sql("documents"), "quality_ablations": ABLATIONS}
