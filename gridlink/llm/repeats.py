@@ -27,11 +27,11 @@ from pyspark.sql import functions as F
 
 from gridlink.llm.common import cut, drop, map_columns, release, table
 
-LENGTH, GRAM, BATCHES = 200, 100, 2
+LENGTH, GRAM, BATCHES = 200, 100, 3
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-#: Bits of a place within a slice of texts; the bits above rank anchors, alike in all slices.
-_PLACE = 28
+#: Bits of a place within a slice of texts, as many as any string can need; the bits above rank anchors, alike in all slices.
+_PLACE = 31
 _POWERS: list[np.ndarray] = []
 
 
@@ -163,8 +163,8 @@ def _window_maker(length: int):
             many = rows[:, 2]
             text, c = np.repeat(rows[:, 0], many), np.repeat(rows[:, 3], many)
             at = np.repeat(rows[:, 1], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            h = s.hashes(s.starts[text] + at, length) ^ mix(c.view(np.uint64))
-            return {"h": h.view(np.int64), "t1": np.array(t1, np.int64)[text], "t2": np.array(t2, np.int32)[text], "lo": at.astype(np.int32)}
+            h = s.hashes(s.starts[text] + at, length)
+            return {"c": c, "h": h.view(np.int64), "t1": np.array(t1, np.int64)[text], "t2": np.array(t2, np.int32)[text], "lo": at.astype(np.int32)}
 
         return call
 
@@ -186,11 +186,12 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: i
     todo = todo.distinct().groupBy("t1", "t2").agg(F.collect_list(F.struct("lo", "n", "c")).alias("list"))  # no more than a text's own anchors
     # copies of a text have one key; one of them will do
     texts = docs.join(todo, ["t1", "t2"]).dropDuplicates(["t1", "t2"]).select("t1", "t2", "text", "list")
-    windows = cut(map_columns(texts, _window_maker(length), "h long, t1 long, t2 int, lo int"), "windows")
+    windows = cut(map_columns(texts, _window_maker(length), "c long, h long, t1 long, t2 int, lo int"), "windows")
     release(docs.sparkSession)
-    twice = cut(windows.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), "twice")
+    # windows are told apart by 128 bits: their own hash and that of their anchor's k bytes
+    twice = cut(windows.groupBy("c", "h").agg(F.count("*").alias("k")).where("k > 1").select("c", "h"), "twice")
     release(docs.sparkSession)
-    single = cut(windows.join(twice, "h").select("t1", "t2", "lo", F.lit(1).alias("n")), "single")
+    single = cut(windows.join(twice, ["c", "h"]).select("t1", "t2", "lo", F.lit(1).alias("n")), "single")
     for done in (windows, twice):
         drop(done)
     release(docs.sparkSession)
