@@ -117,6 +117,51 @@ def test_dart_signatures_estimate_weighted_jaccard():
     assert abs((s[0] == s[1]).mean() - 4.5 / 8) < 0.03
 
 
+def test_shingles_are_weighted():
+    a, b = "one two three four five " * 4, "one two three four five " * 2 + "six"
+    count = lambda t: collections.Counter(tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4))
+    x, y = count(a), count(b)
+    s, t = near_dedup.shingles(a), near_dedup.shingles(b)
+    assert len(s) == sum(x.values()) and len(np.unique(s)) == len(s)
+    assert near_dedup.similarity(s, t) == sum((x & y).values()) / sum((x | y).values())
+    assert sorted(near_dedup.weighted(a)[1]) == sorted(x.values())
+
+
+def test_near_dedup_large_buckets(spark, monkeypatch):
+    """One bucket of several components over many blocks and parts, against brute force; bands of one row meet by chance."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 5)
+    monkeypatch.setattr(near_dedup, "PART", 4)
+    rng = random.Random(59)
+    head = words(rng, 30)
+    texts = []
+    for k in range(12):
+        own = f"{head} {words(rng, 40)}".split()
+        for i in range(6):
+            other = list(own)
+            other[31 + 5 * i] = f"e{i}"
+            texts.append(" ".join(other))
+    rows = [(i, t) for i, t in enumerate(texts)]
+    sets, parent = [near_dedup.shingles(t) for t in texts], list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if near_dedup.similarity(sets[i], sets[j]) >= 0.8:
+                parent[root(i)] = min(root(i), root(j))
+                parent[root(j)] = min(root(i), root(j))
+    want = collections.defaultdict(set)
+    for i in range(len(rows)):
+        want[root(i)].add(i)
+    got = collections.defaultdict(set)
+    for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string"), bands=64, rows=1).collect():
+        got[r["class_id"]].add(r["doc_id"])
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
 def test_near_dedup(docs):
     df, rows = docs
     sets = [near_dedup.shingles(r[1]) for r in rows]
@@ -176,12 +221,62 @@ def test_warc_rejects_records_in_payloads(spark):
     assert collections.Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got) == expected
 
 
+@pytest.mark.parametrize("split", ["700", "20000"])
+def test_warc_over_many_splits(spark, split):
+    """Pointer jumping over splits smaller and larger than records; ids beyond 2^53; clashing columns; repeated rows."""
+    rng, big = random.Random(41), 1 << 60
+    fake = "WARC/1.0\r\nWARC-Type: response\r\nX-Page-ID: 999\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
+    rows = [(big + i, f"http://h/{i}", "".join(rng.choice(["word ", fake, "WARC/1.0\r\n", "é"]) for _ in range(rng.randint(0, 40)))) for i in range(50)]
+    rows += [(big + 101, "http://a", "x" * 3000), (big + 100, "http://a", "x" * 3000), (big + 100, "http://a", "x" * 3000), (5, "http://a", None)]
+    df = spark.createDataFrame([(*r, 1, "f", "n") for r in rows], "page_id long, url string, html string, first long, same string, n string")
+    path = scratch_path(spark, "many")
+    warc.write_archives(df.coalesce(2), path, parts=1)
+    first = {}
+    for i, _, h in rows:
+        first[h or ""] = min(first.get(h or "", i), i)
+    expected = collections.Counter()
+    for i, _, h in rows:
+        b, f = (h or "").encode(), first[h or ""]
+        expected[(i, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "response" if i == f else "revisit", None if i == f else f)] += 1
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = warc.read_archives(spark, path).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert collections.Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got) == expected
+
+
 def test_url_filters(spark):
     urls = ["http://A.example.NET/en/x?q#f", "https://net", "http://x.net/", "http://example.com/de/1", "//x.net/", None, "a://b.org/fr/#", "http://org/en/", "x://../", "http://notnet/"]
     df = spark.createDataFrame([(i, u, "extra") for i, u in enumerate(urls)], "page_id long, url string, host string")
     want = ["example.net/en/", None, "net/", "example.com/de/", None, None, "org/fr/", None, None, None]
     assert [r["rule"] for r in sorted(url_filters.judge(df).collect(), key=lambda r: r["page_id"])] == want
-    assert [r["rule"] for r in sorted(url_filters.judge(df, max_bytes=0).collect(), key=lambda r: r["page_id"])] == want
+    assert [r["rule"] for r in sorted(url_filters.judge(df, max_bytes=1).collect(), key=lambda r: r["page_id"])] == want
+
+
+def test_url_filters_in_shards_equal_brute_force(spark):
+    """Many rules, null ids and repeated rows, over several shards."""
+    rng = random.Random(43)
+    hosts = [f"h{i}.{x}" for i in range(40) for x in ("net", "org", "co.uk")]
+    rules = tuple({(h, p): (rng.choice(["block", "allow"]), h, p) for h in [*rng.sample(hosts, 50), "net", "uk"] for p in rng.sample(["/", "/a/", "/b"], 2)}.values())
+    urls = [(rng.choice([None, 7, k]), f"http://{rng.choice(['', 'www.', 'x.'])}{rng.choice(hosts).upper()}{rng.choice(['', '/', '/a/1', '/bc?x', '/c#y'])}") for k in range(300)] * 2
+    df = spark.createDataFrame([(i, u, "k", "r") for i, u in urls], "page_id long, url string, keys string, rule string")
+
+    def slow(url):
+        rest = url.split("://", 1)[1].split("#")[0].split("?")[0]
+        host, _, path = rest.partition("/")
+        host, path = host.lower(), "/" + path if "/" in rest else ""
+        fits = [(len(h + p), v, h + p) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return host, path, *(max(fits)[:0:-1] if fits else (None, "allow"))
+
+    want = collections.Counter((i, *slow(u)) for i, u in urls)
+    assert url_filters.shards_needed(30, 500, 16) > 2
+    for most in (1 << 20, 32):
+        got = url_filters.judge(df, rules, max_bytes=most).collect()
+        assert collections.Counter((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in got) == want
 
 
 def test_pii_round_trip(spark):
@@ -215,6 +310,114 @@ def test_pii_long_values_are_permuted_whole(spark):
     assert len({got[4][8:][i : i + 32] for i in range(0, 240, 32)}) == 8
 
 
+def _feistel_numbers(l, r, a, b, kind, key):
+    for i in range(1, pii.ROUNDS + 1):
+        f = lambda x: int(hashlib.sha256(f"{key}|{kind}|{i}|{x}".encode()).hexdigest()[:12], 16)  # noqa: B023, E731
+        if i % 2:
+            l = (l + f(r)) % a  # noqa: E741
+        else:
+            r = (r + f(l)) % b
+    return l, r
+
+
+def _feistel_text(s, kind, key):
+    classes = ["0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
+
+    def shifted(half, seed):
+        out = ""
+        for k, c in enumerate(half):
+            h = seed if k < 32 else hashlib.sha256(f"{seed}|{k // 32}".encode()).hexdigest()
+            by = int(h[2 * (k % 32) : 2 * (k % 32) + 2], 16)
+            group = next((g for g in classes if c in g), None)
+            out += group[(group.index(c) + by) % len(group)] if group else c
+        return out
+
+    l, r = s[: len(s) // 2], s[len(s) // 2 :]  # noqa: E741
+    for i in range(1, pii.ROUNDS + 1):
+        f = lambda x: hashlib.sha256(f"{key}|{kind}|{i}|{x}".encode()).hexdigest()  # noqa: B023, E731
+        if i % 2:
+            l = shifted(l, f(r))  # noqa: E741
+        else:
+            r = shifted(r, f(l))
+    return l + r
+
+
+def _luhn_digit(body):
+    total = 0
+    for k, c in enumerate(reversed(body)):
+        d = int(c) * (2 if k % 2 == 0 else 1)
+        total += d - 9 if d > 9 else d
+    return str(-total % 10)
+
+
+def test_pii_equals_an_independent_feistel_network(spark):
+    """Thousands of values of each kind: the pseudonym in plain Python, one to one within the kind, and turned back."""
+    import datetime as dt
+
+    rng, key, epoch = random.Random(37), "another key", dt.date(1800, 1, 1)
+    want = {}
+    for _ in range(1500):
+        day = rng.randrange(160_000)
+        date = epoch + dt.timedelta(day)
+        a, b = _feistel_numbers(day // 400, day % 400, 400, 400, "date", key)
+        other = epoch + dt.timedelta(400 * a + b)
+        for form in ("%Y-%m-%d", "%d/%m/%Y", "%d.%m.%Y"):
+            want[date.strftime(form)] = other.strftime(form)
+    late = [d for d in (epoch + dt.timedelta(k) for k in range(160_000)) if d.day > 12][: pii.LATE**2]
+    for k in [0, 1, pii.LATE**2 - 1, *rng.sample(range(pii.LATE**2), 2500)]:
+        a, b = _feistel_numbers(k // pii.LATE, k % pii.LATE, pii.LATE, pii.LATE, "late", key)
+        want[late[k].strftime("%m/%d/%Y")] = late[pii.LATE * a + b].strftime("%m/%d/%Y")
+    for _ in range(2500):
+        o = [rng.randrange(256) for _ in range(4)]
+        a, b = _feistel_numbers(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, "ip", key)
+        want[".".join(map(str, o))] = f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+        body = "".join(rng.choices("0123456789", k=rng.choice([12, 14, 15, 18])))
+        new = _feistel_text(body, "card", key)
+        want[body + _luhn_digit(body)] = new + _luhn_digit(new)
+        local = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789._", k=rng.randint(1, 40)))
+        want[f"{local}@mail.example.com"] = f"{_feistel_text(local, 'email', key)}@mail.example.com"
+        value = "".join(rng.choices(rng.choice(["0123456789abcdef", "abcdefgxyz", "xyABZ019-_"]), k=rng.randint(6, 70)))
+        want[f"token={value}"] = f"token={_feistel_text(value, 'secret', key)}"
+        area = rng.choice([*range(1, 666), *range(667, 900)])
+        group, serial = rng.randint(1, 99), rng.randint(1, 9999)
+        place = area - 2 if area > 666 else area - 1
+        a, b = _feistel_numbers(place * 99 + group - 1, serial - 1, 898 * 99, 9999, "ssn", key)
+        first = a // 99
+        want[f"{area:03d}-{group:02d}-{serial:04d}"] = f"{first + 2 if first >= 665 else first + 1:03d}-{a % 99 + 1:02d}-{b + 1:04d}"
+    values = list(want)
+    df = spark.createDataFrame([(v,) for v in values], "hit string").repartition(8)
+    got = {r["hit"]: (r["new"], r["old"]) for r in df.withColumn("new", pii.pseudonym(df["hit"], key)).withColumn("old", pii.pseudonym(pii.F.col("new"), key, True)).collect()}
+    assert len(got) == len(values) and all(got[v] == (want[v], v) for v in values)
+    assert len({n for n, _ in got.values()}) == len(values)
+
+
+def test_pii_odd_values(spark):
+    texts = ["010.1.1.1 10.1.1.1 256.1.1.1", "11/25/1999 10/13/2001 31/12/1999 13/13/2000 02/30/2000", "1799-12-31 2240-01-01 0000-01-01", "token=zzzzzz token=xbc123 secret: \"Aa1!Aa1!\"", "x" * 300_000 + " 10.0.0.1"]
+    rows = [*enumerate(texts), (None, texts[0]), (0, texts[0]), (7, None), (8, "")]
+    df = spark.createDataFrame([(i, t, "part") for i, t in rows], "doc_id long, text string, hit string")
+    out = pii.pseudonymise(df).cache()
+    back = pii.pseudonymise(out, invert=True)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    assert sorted(((r["doc_id"], r["text"]) for r in back.collect()), key=key) == sorted(rows, key=key)
+    got = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert got[0] == got[None] and got[0].startswith("010.1.1.1 ") and got[0].endswith(" 256.1.1.1") and " 10.1.1.1 " not in got[0]
+    first, second, third, *rest = got[1].split(" ")
+    assert first != "11/25/1999" and int(first.split("/")[1]) > 12 and int(second.split("/")[1]) > 12 and rest == ["13/13/2000", "02/30/2000"]
+    assert got[2] == texts[2] and "zzzzzz" not in got[3] and got[7] is None and got[8] == ""
+
+
+def test_pii_key_comes_from_the_session(spark, tmp_path):
+    spark.createDataFrame([(1, "10.1.1.1")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = []
+    for key in ("one", "two", "one"):
+        spark.conf.set(pii.KEY_SETTING, key)
+        got.append(pii.op5_pii(spark, str(tmp_path)).first()["text"])
+    spark.conf.unset(pii.KEY_SETTING)
+    assert got[0] == got[2] != got[1]
+    with pytest.warns(UserWarning, match="no secret"):
+        pii.op5_pii(spark, str(tmp_path))
+
+
 def test_decontamination(spark):
     rng = random.Random(5)
     items = [words(rng, 40) for _ in range(3)] + ["short one here", None, ""]
@@ -256,6 +459,31 @@ def test_decontamination_finds_quotes_at_every_place():
     assert sorted(g[:4] for g in block.find(["an OX, here", "oxen", "", None, "let us go up", "go upper"])) == [(0, 8, 3, 5), (4, 9, 7, 12)]
 
 
+def test_decontamination_in_parts_equals_one(monkeypatch):
+    """Repetitive items and texts, counted in parts of bounded size."""
+    rng = random.Random(47)
+    items = [(1, "ha " * 200), (2, words(rng, 60)), (3, "ab" * 150)]
+    texts = ["ha " * 3000, f"{words(rng, 900)} {items[1][1]} {words(rng, 900)} " * 3, "ab" * 4000 + " x", words(rng, 50), ""]
+    block = decontamination.Block.build(items)
+    want = sorted(block.find(texts))
+    assert [(g[0], g[1]) for g in want] == [(0, 1), (1, 2), (2, 3)]
+    monkeypatch.setattr(decontamination, "MAX_PLACES", 1000)
+    assert sorted(block.find(texts)) == want
+
+
+def test_decontamination_defined_cases(spark):
+    rng = random.Random(53)
+    item = words(rng, 40)
+    rows = [(None, item, "i"), (1, item, "i"), (1, item, "i"), (2, None, "i"), (3, "", "i"), (4, f"{words(rng, 60_000)} {item}", "i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id string")
+    bench = spark.createDataFrame([(9, item, 0), (None, item, 0), (8, None, 0)], "item_id long, text string, doc_id long")
+    got = collections.Counter((r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs, bench).collect())
+    assert got == {(None, 9): 1, (None, None): 1, (1, 9): 2, (1, None): 2, (4, 9): 1, (4, None): 1}
+    assert decontamination.contaminated(docs.limit(0), bench).count() == decontamination.contaminated(docs, bench.limit(0)).count() == 0
+    small = decontamination.contaminated(docs, bench, max_bytes=64)
+    assert collections.Counter((r["doc_id"], r["item_id"]) for r in small.collect()) == got
+
+
 def test_language_id_and_toxicity_held_out(spark):
     rng = random.Random(7)
     pools = {"en": "the of and thing with".split(), "de": "der und schön keit ung".split(), "fr": "le été eux ment oui".split(), "es": "ñ ción el los mente".split()}
@@ -273,6 +501,52 @@ def test_language_id_and_toxicity_held_out(spark):
     assert all(scored[r[0]] == r[3] for r in rows)
 
 
+def test_language_id_by_hand(spark):
+    """Features and decisions against plain loops over the machines, and accuracy on rows held out of learning."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    langs = {r["doc_id"]: r["lang"] for r in docs.select("doc_id", "lang").collect()}
+    got = {r["doc_id"]: r for r in language_id.op4_language_id(spark, sf).collect()}
+    assert len(got) == docs.count()
+    held = [i for i in got if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert sorted(held) == sorted(i for i in got if got[i]["held_out"])
+    held = [i for i in held if langs[i] is not None and got[i]["lang_pred"] != "und"]
+    assert sum(got[i]["lang_pred"] == langs[i] for i in held) >= 0.98 * len(held) > 100
+    some = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
+    model = language_id.learn(some)
+    for text in ["The cat and the hat", "der Hund und die Katze", "½ le chat", "", "1 2 3", "½ ² Ⅷ ①", None] + [r["text"] for r in some.limit(40).collect()]:
+        if not any(c.isalpha() for c in text or ""):
+            assert model.predict(text) == ("und", 1.0)
+            continue
+        data, x = b" " + text.lower().encode() + b" ", np.zeros(language_id.PLACES)
+        for i in range(len(data) - 2):
+            x[(int.from_bytes(data[i : i + 3], "little") * 2654435761 % 2**32) >> 19] += 1
+        x = np.sqrt(x) / np.sqrt(x.sum())
+
+        def winner(stage):
+            wins, chance = collections.Counter({n: 0 for n in stage.names}), collections.Counter()
+            for m in stage.machines:
+                p = 1 / (1 + np.exp(-m.slope * (x @ m.weights + m.bias)))
+                wins[m.one if p >= 0.5 else m.other] += 1
+                chance[m.one] += p
+                chance[m.other] += 1 - p
+            best = max(stage.names, key=lambda n: (wins[n], chance[n]))
+            return best, chance[best] / (len(stage.names) - 1) if len(stage.names) > 1 else 1.0
+
+        family, p = winner(model.families)
+        lang, q = winner(model.languages[family])
+        guess = model.predict(text)
+        assert guess[0] == lang and abs(guess[1] - p * q) < 1e-4
+
+
+def test_language_id_defined_cases(spark):
+    rows = [(None, "the thing", "en", 1), (1, None, "en", 2), (2, "", None, 3), (2, "the thing", "en", 4), (2, "the thing", "en", 4), (3, "der und " * 50_000, "de", 5), (4, "½", "en", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score long")
+    model = language_id.learn(df.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text"))
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["lang_pred"], 0 <= r["score"] <= 1) for r in language_id.predict(df, model).collect())
+    assert got == [(-1, "en", True), (1, "und", True), (2, "en", True), (2, "en", True), (2, "und", True), (3, "de", True), (4, "und", True)]
+
+
 def test_language_id_learns_every_language(spark):
     rng = random.Random(23)
     names = [f"x{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(66)]
