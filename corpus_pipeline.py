@@ -43,7 +43,7 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: personal data as pseudonyms."""
-    return pii.pseudonymise(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return pii.pseudonymise(docs, key=pii.key_of(spark)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
