@@ -8,7 +8,8 @@ the array is sorted), the hash of its context (all bytes of the windows it ancho
 Each batch is merge-scanned with the levels that exist: entries of a class that occurs once are done; entries of equal
 contexts repeat in all their windows; what is left, contexts that differ within a class, is kept for a last step that
 compares their single windows, one entry standing for all of an equal context. Then the batch becomes a level; before the
-next batch, levels of equal size are merged, so each entry is rewritten a logarithmic number of times.
+next batch, levels of equal size are merged into one, sorted as a whole over ranges of entries, so that a common class is
+dealt to many tasks and each entry is rewritten a logarithmic number of times.
 
 Counting is by pre-aggregated group-by and plain joins, so neither a common class nor a common text lands in one task.
 
@@ -126,7 +127,7 @@ class IndexFamily:
         batch has no part in were settled when their last entry came. Each step's shuffle files go before the next step."""
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (rank, one), (_, two) = self.levels.pop(), self.levels.pop()
-            self.levels.append((rank + 1, cut(one.unionByName(two).repartition("c"), "level", ["c", "f"])))
+            self.levels.append((rank + 1, cut(one.unionByName(two).repartitionByRange("c", "f", "t1", "lo"), "level", ["c", "f"])))
             drop(one)
             drop(two)
         new = cut(batch, "entries", ["c", "f"])
@@ -164,7 +165,7 @@ def _window_maker(length: int):
             text, c = np.repeat(rows[:, 0], many), np.repeat(rows[:, 3], many)
             at = np.repeat(rows[:, 1], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
             h = s.hashes(s.starts[text] + at, length)
-            return {"c": c, "h": h.view(np.int64), "t1": np.array(t1, np.int64)[text], "t2": np.array(t2, np.int32)[text], "lo": at.astype(np.int32)}
+            return {"c": c.astype(np.int32), "h": h.view(np.int64), "t1": np.array(t1, np.int64)[text], "t2": np.array(t2, np.int32)[text], "lo": at.astype(np.int32)}
 
         return call
 
@@ -186,9 +187,9 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: i
     todo = todo.distinct().groupBy("t1", "t2").agg(F.collect_list(F.struct("lo", "n", "c")).alias("list"))  # no more than a text's own anchors
     # copies of a text have one key; one of them will do
     texts = docs.join(todo, ["t1", "t2"]).dropDuplicates(["t1", "t2"]).select("t1", "t2", "text", "list")
-    windows = cut(map_columns(texts, _window_maker(length), "c long, h long, t1 long, t2 int, lo int"), "windows")
+    windows = cut(map_columns(texts, _window_maker(length), "c int, h long, t1 long, t2 int, lo int"), "windows")
     release(docs.sparkSession)
-    # windows are told apart by 128 bits: their own hash and that of their anchor's k bytes
+    # windows are told apart by 96 bits: their own hash and a part of that of their anchor's k bytes
     twice = cut(windows.groupBy("c", "h").agg(F.count("*").alias("k")).where("k > 1").select("c", "h"), "twice")
     release(docs.sparkSession)
     single = cut(windows.join(twice, ["c", "h"]).select("t1", "t2", "lo", F.lit(1).alias("n")), "single")
@@ -238,5 +239,19 @@ def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
 
 
+#: Every window of every text as hexadecimal digits, counted by its digest; texts are cut into overlapping parts first.
+ORACLE = r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT r, 1000 * j AS base, substr(h, 2000 * j + 1, 2398) AS part FROM (SELECT r, h, unnest(range(length(h) // 2000 + 1)) AS j FROM t)),
+k AS (SELECT r, base + i AS i, md5(substr(part, 2 * i + 1, 400)) AS m FROM (SELECT r, base, part, unnest(range(least(1000, length(part) // 2 - 199))) AS i FROM p)),
+d AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY m) AS n FROM k) WHERE n > 1),
+g AS (SELECT r, i, sum(CASE WHEN i <= lag_i + 200 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS run FROM (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS lag_i FROM d)),
+s AS (SELECT r, run, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY r, run),
+q AS (SELECT r, run, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY run), 0) AS before FROM s),
+c AS (SELECT q.r, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY run) AS head, max(b) AS last FROM q JOIN t USING (r) GROUP BY q.r)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN c.r IS NULL THEN h ELSE head || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM t LEFT JOIN c USING (r)"""
+
 QUERIES = {"op9_repeats": op9_repeats}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op9_repeats": ORACLE}
