@@ -53,29 +53,45 @@ def terms(text: str | None) -> list[str]:
 
 
 class Numbers(dict):
-    """The known terms' numbers in each white-space-free word met so far; terms never reach across white space."""
+    """For each white-space-free word met so far the number of the known term in it; -1 where there is none, and below
+    that, from -2 down, a place in `several`. Terms never reach across white space."""
 
     def __init__(self, number: dict[str, int]):
         super().__init__()
-        self.number = number
+        self.number, self.several = number, []
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: str) -> int:
+        found = tuple(i for i in map(self.number.get, _TERM.findall(word)) if i is not None)
+        if len(found) > 1:
+            self.several.append(found)
+        self[word] = code = -1 if not found else found[0] if len(found) == 1 else -1 - len(self.several)
+        return code
+
+    def _words(self, text: str) -> Iterable[int]:
         if len(self) >= CACHED_WORDS:
             self.clear()
-        self[word] = found = tuple(i for i in map(self.number.get, _TERM.findall(word)) if i is not None)
-        return found
+            self.several.clear()
+        return map(self.__getitem__, text.lower().split())
 
     def counts(self, text: str | None) -> dict[int, int]:
         """How often each known term, by its number, stands in the text."""
-        found: dict[int, int] = {}
-        for word, n in Counter(text.lower().split()).items() if text else ():
-            for i in self[word]:
-                found[i] = found.get(i, 0) + n
+        found = Counter(self._words(text)) if text else Counter()
+        found.pop(-1, None)
+        if min(found, default=0) < 0:
+            for code in [c for c in found if c < 0]:
+                n = found.pop(code)
+                for i in self.several[-2 - code]:
+                    found[i] += n
         return found
 
     def present(self, text: str | None) -> set[int]:
         """Which known terms stand in the text."""
-        return set(chain.from_iterable(map(self.__getitem__, set(text.lower().split())))) if text else set()
+        found = set(self._words(text)) if text else set()
+        found.discard(-1)
+        if min(found, default=0) < 0:
+            codes = {c for c in found if c < 0}
+            found = (found - codes).union(*(self.several[-2 - c] for c in codes))
+        return found
 
 
 def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
