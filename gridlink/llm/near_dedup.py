@@ -317,5 +317,20 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents"))
 
 
+#: All pairs of distinct texts that share a shingle, compared exactly.
+ORACLE = r"""
+WITH RECURSIVE t AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\s\x0B\x1C-\x1F\x85\xA0]+'), lambda w: w <> '') AS w FROM documents),
+x AS (SELECT min(r) AS r, w FROM t GROUP BY w),
+s AS (SELECT r, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT r, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM x)),
+k AS (SELECT r, hash(g) AS g, count(*) AS n FROM s GROUP BY ALL),
+z AS (SELECT r, sum(n) AS n FROM k GROUP BY r),
+v AS (SELECT a.r AS a, b.r AS b, sum(least(a.n, b.n)) AS shared FROM k a JOIN k b ON a.g = b.g AND a.r < b.r GROUP BY ALL),
+e AS (SELECT a, b FROM v JOIN z za ON za.r = a JOIN z zb ON zb.r = b WHERE 5 * shared >= 4 * (za.n + zb.n - shared)),
+u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+c AS (SELECT r AS node, r AS least FROM x UNION SELECT u.b, c.least FROM c JOIN u ON u.a = c.node AND u.b > c.least),
+m AS (SELECT node, min(least) AS component FROM c GROUP BY node),
+f AS (SELECT t.doc_id, m.component FROM t JOIN x USING (w) JOIN m ON m.node = x.r)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY component) AS class_id, count(*) OVER (PARTITION BY component) AS class_rows FROM f"""
+
 QUERIES = {"op2_near_dedup": op2_near_dedup}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op2_near_dedup": ORACLE}
