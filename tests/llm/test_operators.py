@@ -80,6 +80,46 @@ def test_packing_plan_is_whole_and_fits():
     assert (used == counts).all()
 
 
+def _bin_by_bin(lengths, capacity):
+    """Bins one at a time: the longest that still fits, then the smallest one given up for a tighter pair."""
+    left, bins = collections.Counter(lengths), 0
+    while left:
+        used, gap = [], capacity
+        while fit := [x for x in left if x <= gap]:
+            used.append(max(fit))
+            gap -= used[-1]
+            left = +collections.Counter({**left, used[-1]: left[used[-1]] - 1})
+        if gap and len(used) > 1:
+            room = gap + used[-1]
+            pairs = [(x + y, x, y) for x in left for y in left if x + y <= room and (x != y or left[x] > 1)]
+            if pairs and max(p[0] for p in pairs) > used[-1]:
+                total = max(p[0] for p in pairs)
+                x = min(p[1] for p in pairs if p[0] == total)
+                left.update([used[-1]])
+                left.subtract([x, total - x])
+                left = +left
+        bins += 1
+    return bins
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_packing_plan_equals_bin_by_bin(seed):
+    rng = random.Random(seed)
+    capacity = rng.choice([20, 64, 100])
+    top = rng.choice([capacity, capacity // 2, capacity // 5])
+    lengths = [rng.randint(1, top) if rng.random() < 0.8 else capacity for _ in range(rng.choice([1, 50, 300]))]
+    counts = np.bincount(lengths, minlength=capacity + 1)
+    assert sum(times for times, _ in packing.plan(counts, capacity)) == _bin_by_bin(lengths, capacity)
+
+
+def test_packing_defined_cases(spark):
+    rows = [(None, None, 1), (None, "", 2), (None, "", 2), (3, "a b", 3), (3, "a b", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, salt int").withColumn("length", pii.F.lit("x"))
+    got = packing.pack(packing.pieces(df)).collect()
+    assert len(got) == 5 and len({r["sequence_id"] for r in got}) == 1
+    assert sorted(r["length"] for r in got)[:3] == [1, 1, 1] and len({r["offset"] for r in got}) == 5
+
+
 def test_packing(docs):
     df, rows = docs
     got = packing.pack(packing.pieces(df, capacity=100), capacity=100).collect()
@@ -204,6 +244,30 @@ def test_repeats(docs):
         assert collections.Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == expected
 
 
+def test_repeats_defined_cases(spark):
+    text = "abcdefghij" * 30
+    rows = [(None, text, 1, "x"), (1, text, 2, "y"), (1, text, 2, "y"), (2, None, 3, "z"), (3, "", 4, "z"), (4, text[:199], 5, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, t1 long, c string").withColumns({"t2": pii.F.lit(1), "lo": pii.F.lit("q"), "h": pii.F.lit(0)})
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"]) for r in repeats.remove_repeats(df).collect())
+    assert got == [(-1, 300, 300, 1), (1, 300, 300, 1), (1, 300, 300, 1), (2, 0, 0, 0), (3, 0, 0, 0), (4, 199, 0, 0)]
+
+
+def test_repeats_merge_levels(spark, monkeypatch):
+    """Levels of equal size are merged, and what has been found stays the same."""
+    made = []
+    cut = repeats.cut
+    monkeypatch.setattr(repeats, "cut", lambda df, name, *a: made.append(name) or cut(df, name, *a))
+    rng = random.Random(61)
+    shared = words(rng, 60)
+    df = spark.createDataFrame([(i, f"{words(rng, 20)} {shared} {words(rng, 20)}") for i in range(24)], "doc_id long, text string")
+    got = []
+    for batches in (2, 5):
+        made.clear()
+        got.append(sorted(tuple(r)[:5] for r in repeats.remove_repeats(df, batches=batches).drop("spans").collect()))
+        assert made.count("level") == (0 if batches == 2 else 3)  # five batches: (1+1), (1+1), (2+2)
+    assert got[0] == got[1] and all(r[2] >= len(shared) for r in got[0])
+
+
 def test_warc_rejects_records_in_payloads(spark):
     fake = "WARC/1.0\r\nWARC-Type: response\r\nX-Page-ID: 999\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
     rows = [(1, "http://a", "x"), (2, "http://b", fake * 3), (3, None, None), (4, "u WARC/1.0", "WARC/1.0\r\n" * 9), (6, "http://a", "x"), (None, "z", "x"), (7, "q", "")]
@@ -686,6 +750,14 @@ def test_pipeline(spark):
     assert rows and sum(r["offset"] == 0 for r in rows) == len({r["sequence_id"] for r in rows})
 
 
+def test_pipeline_over_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    empty(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "x")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline_decides_by_row(spark, tmp_path):
     import corpus_pipeline
 
