@@ -35,7 +35,7 @@ def resolve(args: argparse.Namespace) -> int:
         left, right = (jsonl.read_records(spark, str(path), path.stem, side) for side, path in (("left", args.left), ("right", args.right)))
     except (ValueError, rs.ScorerUnavailable) as e:
         return _fail(e)
-    result = rs.resolve(left, right, scorer, DEFAULT_THRESHOLD)
+    result = rs.resolve(left, right, scorer, DEFAULT_THRESHOLD).keep()
     (jsonl.write_resolution_parts if args.parts else jsonl.write_resolution)(result, str(args.output))
     print(f"resolved {left.count()} left record(s) and {right.count()} right record(s) under '{scorer.name}': {result.pairs.count()} matched pair(s), {result.unmatched.count()} unmatched record(s) written to {args.output}")
     result.close()

@@ -29,6 +29,11 @@ def normalise(name: Column) -> Column:
     return F.trim(F.regexp_replace(plain, r"(?U)[\s\x1c-\x1f]+", " "))
 
 
+def clean(name: Column) -> Column:
+    """The name, or null where it holds nothing but white space."""
+    return F.when(F.regexp_replace(name, r"(?U)[\s\x1c-\x1f]", "") != "", name)
+
+
 def plain_normalise(name: str | None) -> str:
     """normalise() of one name, without Spark."""
     return " ".join("".join(c if c.isalnum() else " " for c in (name or "").casefold()).split())

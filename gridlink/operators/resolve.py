@@ -5,7 +5,7 @@ sides may carry one source name and a side may have several sources. The grid jo
 which the left side's keys, coordinates and prepared names alone are repeated nine times; a dense cell is a skewed key
 that adaptive execution splits. A pair meets at exactly one offset, so nothing is deduplicated. Of each left record's
 candidates only the best one leaves a task, so what is shuffled after the join is bounded by the left side. Whole records
-are joined to the links alone, and the links are computed once for pairs, what is left, and the merged view.
+are joined to the links alone, which pairs, what is left, and the merged view share.
 
 Defined cases: records without both coordinates meet nothing; null names score 0; of equally good candidates the nearer
 one, then the one with the lesser record id; an empty side leaves the other one unmatched; more columns than the named
@@ -176,7 +176,8 @@ def merged(l: Column, r: Column) -> Column:  # noqa: E741
 @dataclass(frozen=True)
 class Resolution:
     """pairs: l, r, score, distance, merged; unmatched: the records and a reason; occupancy: of the right side; links:
-    what all of them are made of, kept until close()."""
+    what all of them are made of. One plan computes the links once, as its branches share their exchange; who runs
+    several calls keep() first and close() at the end."""
 
     pairs: DataFrame
     unmatched: DataFrame
@@ -188,6 +189,11 @@ class Resolution:
         single = self.unmatched.select("name", "latitude", "longitude", "fields", F.array("source").alias("sources"))
         return self.pairs.select("merged.*").unionByName(single)
 
+    def keep(self) -> Resolution:
+        """Keeps the links, a row for each left record with candidates; lost parts are computed anew."""
+        self.links.persist(StorageLevel.MEMORY_AND_DISK)
+        return self
+
     def close(self) -> None:
         self.links.unpersist()
 
@@ -196,8 +202,7 @@ RECORD = ("side", "source", "ordinal", "name", "latitude", "longitude", "fields"
 
 
 def resolve(left: DataFrame, right: DataFrame, scorer: Scorer, threshold: float, cell_size: float = CELL_SIZE) -> Resolution:
-    # recomputed where executors are lost; one row for each left record with candidates
-    links = best_links(left, right, scorer, threshold, cell_size).persist(StorageLevel.MEMORY_AND_DISK)
+    links = best_links(left, right, scorer, threshold, cell_size)
     left, right = left.select(*RECORD), right.select(*RECORD)
     found = links.where("r_ordinal IS NOT NULL")
     wide = [with_identity(rows).select(F.struct(*RECORD, "record_id").alias(side), F.col("source").alias(f"{side}_source"), F.col("ordinal").alias(f"{side}_ordinal")) for side, rows in (("l", left), ("r", right))]

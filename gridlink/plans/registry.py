@@ -10,6 +10,7 @@ from gridlink.operators import evaluation as ev
 from gridlink.operators import ranks
 from gridlink.operators import resolve as rs
 from gridlink.plans import fixtures as fx
+from gridlink.sources import corpus
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -122,7 +123,7 @@ _records_query("prj_populatedness", "(f_brand <> '')::INT + (f_type <> '')::INT
 _records_query("flt_coords", "latitude IS NOT NULL AND longitude IS NOT NULL AS located", lambda: identity.has_coordinates(F.col("latitude"), F.col("longitude")).alias("located"))
 _records_query("str_normalise", _NORM.format("name") + " AS normal", lambda: text.normalise(F.col("name")).alias("normal"))
 _records_query("str_tokens", "array_to_string(list_sort(toks), ' ') AS tokens", lambda: F.array_join(F.array_sort(text.tokens(F.col("name"))), " ").alias("tokens"))
-_records_query("flt_blank", "nullif(trim(name), '') AS cleaned", lambda: F.when(F.regexp_replace("name", r"(?U)[\s\x1c-\x1f]", "") != "", F.col("name")).alias("cleaned"))
+_records_query("flt_blank", "nullif(trim(name), '') AS cleaned", lambda: text.clean(F.col("name")).alias("cleaned"))
 
 
 @query(f"WITH {_REC} SELECT cr AS cell_row, cc AS cell_col, count(*) AS n FROM ids WHERE side = 'right' AND cr IS NOT NULL AND cc IS NOT NULL GROUP BY ALL")
@@ -312,21 +313,20 @@ def agg_mean_pool(spark, sf_dir) -> DataFrame:
 
 @query(f"WITH pairs AS ({fx.PAIRS}) SELECT category, count(*) AS n, string_agg(DISTINCT seed, ',' ORDER BY seed) AS seeds FROM pairs GROUP BY category")
 def agg_case_mixture(spark, sf_dir) -> DataFrame:
-    return fx.pairs(spark, sf_dir).groupBy("category").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("seed")), ",").alias("seeds"))
+    return corpus.case_mixture(fx.pairs(spark, sf_dir)).withColumn("seeds", F.array_join("seeds", ","))
 
 
 @query(f"WITH pairs AS ({fx.PAIRS}), twice AS (SELECT pair_no FROM pairs UNION ALL SELECT pair_no FROM pairs WHERE pair_no % 7 = 0) SELECT pair_no, count(*) AS n FROM twice GROUP BY pair_no HAVING count(*) > 1")
 def set_dup_ids(spark, sf_dir) -> DataFrame:
     rows = fx.pairs(spark, sf_dir).select("pair_no")
-    return rows.unionByName(rows.where("pair_no % 7 = 0")).groupBy("pair_no").agg(F.count("*").alias("n")).where("n > 1")
+    return corpus.repeated_ids(rows.unionByName(rows.where("pair_no % 7 = 0")), "pair_no")
 
 
 @query(f"WITH pairs AS ({fx.PAIRS}) SELECT pair_no, 'missing' AS problem FROM pairs WHERE pair_no % 9 = 0 UNION ALL SELECT -1 - pair_no, 'extra' FROM pairs WHERE pair_no % 11 = 0")
 def set_roles_cover(spark, sf_dir) -> DataFrame:
     ids = fx.pairs(spark, sf_dir).select("pair_no")
     roles = ids.where("pair_no % 9 <> 0").unionByName(ids.where("pair_no % 11 = 0").select((-1 - F.col("pair_no")).alias("pair_no")))
-    missing = ids.join(roles, "pair_no", "left_anti").withColumn("problem", F.lit("missing"))
-    return missing.unionByName(roles.join(ids, "pair_no", "left_anti").withColumn("problem", F.lit("extra")))
+    return corpus.coverage(ids, roles, "pair_no")
 
 
 @query(f"WITH pairs AS ({fx.PAIRS}) SELECT format('{{:04d}}-{{}}-{{:03d}}', seed, replace(lower(category), ' ', '-'), pair_no) AS pair_id FROM pairs")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridlink.functions import perturb
 from gridlink.plans import fixtures as fx
-from gridlink.sources import corpus
+from gridlink.sources import artifacts, corpus
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -59,7 +59,48 @@ def split_roles(spark, sf_dir) -> DataFrame:
     return corpus.split_roles(fx.pairs(spark, sf_dir), "pair_no").select("pair_no", "category", "role")
 
 
-@query()
+def _list(words) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+
+def _corpus_sql() -> str:
+    """corpus.generate() in SQL: the same md5 ranks and remainders over the same words."""
+    def drawn(what: str, of: int) -> str:
+        return f"('0x' || substr(md5(concat_ws('|', '{what}', category, seed::VARCHAR, prefix)), 1, 8))::BIGINT % {of}"
+
+    def one_of(what: str, words) -> str:
+        return f"{_list(words)}[{drawn(what, len(words))} + 1]"
+
+    def sampled(family: str, words, salt: str) -> str:
+        size = corpus.FAMILIES[family][1]
+        return f"SELECT * FROM (SELECT seed, '{family}' AS category, prefix, row_number() OVER (PARTITION BY seed ORDER BY md5(concat_ws('|', '{salt}', '{family}', seed::VARCHAR, prefix)), prefix) - 1 AS place FROM range(1, 6) s(seed), (SELECT unnest({_list(words)}) AS prefix)) WHERE place < {size}"
+
+    noun, pools = f"prefix || ' ' || {one_of('noun', corpus.NOUNS)}", corpus._pools()
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'bcdefghijklmnopqrstuvwxyzaBCDEFGHIJKLMNOPQRSTUVWXYZA"
+    noise = f"array_to_string(list_transform(string_split(l, ' '), lambda w: array_to_string(list_transform(range(len(w)), lambda i: CASE WHEN i % 2 = 0 THEN translate(w[i + 1], '{letters}') ELSE w[i + 1] END), '')), ' ')"
+    short = "CASE split_part(l, ' ', -1) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in perturb.ABBREVIATIONS.items()) + " ELSE split_part(l, ' ', -1) END"
+    nouns = [(k, v) for k, some in corpus.SYNONYMS.items() for v in some]
+    right = {
+        "exact": "l",
+        "formatting": f"CASE {drawn('style', 4)} WHEN 0 THEN upper(l) WHEN 1 THEN lower(l) WHEN 2 THEN l || '.' ELSE replace(l, ' ', '  ') END",
+        "word order": "array_to_string(list_reverse(string_split(l, ' ')), ' ')",
+        "abbreviation": f"regexp_replace(l, '[^ ]+$', '') || {short}",
+        "character noise": noise,
+        "transliteration": f"translate(l, '{perturb.ACCENTED + perturb.ACCENTED.upper()}', '{perturb.PLAIN + perturb.PLAIN.upper()}')",
+        "near-miss negative": f"prefix || ' ' || {one_of('other', corpus.OTHER_NOUNS)}",
+    }
+    left = dict.fromkeys(right, noun) | {"abbreviation": f"prefix || ' ' || {one_of('suffix', list(perturb.ABBREVIATIONS))}", "transliteration": "prefix"}
+    parts = [f"SELECT seed, category, place, l AS left_name, {right[f]} AS right_name FROM (SELECT *, {left[f]} AS l FROM ({sampled(f, pools[f], 'draw')}))" for f in right]
+    alias, at = "semantic alias", drawn("alias", len(nouns))
+    others = corpus._two_words(*corpus.ALIAS_RIGHT)
+    parts.append(f"SELECT a.seed, category, a.place, prefix || ' ' || {_list(k for k, _ in nouns)}[{at} + 1], other || ' ' || {_list(v for _, v in nouns)}[{at} + 1] FROM ({sampled(alias, pools[alias], 'draw')}) a JOIN (SELECT seed, place, prefix AS other FROM ({sampled(alias, others, 'other')})) b ON a.seed = b.seed AND a.place = b.place".replace("seed::VARCHAR, prefix)), 1, 8", "a.seed::VARCHAR, prefix)), 1, 8"))
+    label = "CASE WHEN category IN ('semantic alias', 'near-miss negative') THEN 0 ELSE 1 END"
+    return f"""WITH p AS ({' UNION ALL '.join(parts)}), i AS (SELECT *, format('{{:04d}}-{{}}-{{:03d}}', seed, replace(category, ' ', '-'), place) AS pair_id FROM p),
+r AS (SELECT *, count(*) OVER w AS n, row_number() OVER (PARTITION BY seed, category ORDER BY md5(pair_id), pair_id) AS k FROM i WINDOW w AS (PARTITION BY seed, category))
+SELECT pair_id, left_name, right_name, {label} AS label, category, CASE WHEN k <= (n + 1) // 2 THEN 'development' WHEN k <= (n + 1) // 2 + (n - (n + 1) // 2) // 2 THEN 'calibration' ELSE 'sealed test' END AS role, seed::INT AS seed FROM r"""
+
+
+@query(_corpus_sql())
 def src_corpora(spark, sf_dir) -> DataFrame:
     return corpus.generate(spark)
 
@@ -86,10 +127,9 @@ def agg_sum_defined(spark, sf_dir) -> DataFrame:
 @query("WITH a AS (SELECT p_type AS name, count(*) AS n FROM part WHERE p_partkey % 3 <> 0 GROUP BY 1), b AS (SELECT p_type AS name, count(*) AS n FROM part WHERE p_size > 10 GROUP BY 1) SELECT name, a.n AS old_n, b.n AS new_n, CASE WHEN a.n IS NULL THEN 'added' WHEN b.n IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b USING (name) WHERE a.n IS DISTINCT FROM b.n")
 def set_op_diff(spark, sf_dir) -> DataFrame:
     p = fx.part(spark, sf_dir).withColumnRenamed("p_type", "name")
-    a = p.where("p_partkey % 3 <> 0").groupBy("name").agg(F.count("*").alias("old_n"))
-    b = p.where("p_size > 10").groupBy("name").agg(F.count("*").alias("new_n"))
-    rows = a.join(b, "name", "full_outer").where(~F.col("old_n").eqNullSafe(F.col("new_n")))
-    return rows.withColumn("change", F.when(F.col("old_n").isNull(), "added").when(F.col("new_n").isNull(), "removed").otherwise("changed"))
+    a = p.where("p_partkey % 3 <> 0").groupBy("name").agg(F.count("*").alias("n"))
+    b = p.where("p_size > 10").groupBy("name").agg(F.count("*").alias("n"))
+    return artifacts.operator_differences(a, b, "name")
 
 
 @query(f"WITH p AS ({fx.PAIRS}) SELECT pair_no, left_name, right_name FROM p ORDER BY pair_no LIMIT 10")

@@ -76,6 +76,13 @@ def total_size(files: DataFrame) -> DataFrame:
     return files.agg(F.sum("size").cast("double").alias("value")).withColumn("undefined_reason", F.when(F.col("value").isNull(), "classical arms carry no model artifact"))
 
 
+def operator_differences(old: DataFrame, new: DataFrame, key: str = "op_type") -> DataFrame:
+    """old, new (key, n): key, old_n, new_n, change (added, removed, changed) of each type whose count differs."""
+    both = old.select(key, F.col("n").alias("old_n")).join(new.select(key, F.col("n").alias("new_n")), key, "full_outer")
+    change = F.when(F.col("old_n").isNull(), "added").when(F.col("new_n").isNull(), "removed").otherwise("changed")
+    return both.where(~F.col("old_n").eqNullSafe(F.col("new_n"))).withColumn("change", change)
+
+
 def signature_differences(old: DataFrame, new: DataFrame, old_name: str = "fp32", new_name: str = "int8") -> DataFrame:
     """old, new (kind, name, shape, dtype; shape as text): a row for each difference, sorted by its text."""
     a = old.select("kind", "name", F.col("shape").alias("a_shape"), F.col("dtype").alias("a_dtype"), F.lit(True).alias("a"))

@@ -110,9 +110,26 @@ def generate(spark: SparkSession, seeds: tuple[int, ...] = SEEDS) -> DataFrame:
     return split_roles(named, by=("seed",)).select("pair_id", "left_name", "right_name", "label", "category", "role", "seed")
 
 
+def repeated_ids(pairs: DataFrame, id_col: str = "pair_id") -> DataFrame:
+    """Each id that is given more than once, and how often."""
+    return pairs.groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def coverage(pairs: DataFrame, roles: DataFrame, id_col: str = "pair_id") -> DataFrame:
+    """id, problem: ids without a role (missing), and roles of no pair (extra)."""
+    sides = (("missing", pairs, roles), ("extra", roles, pairs))
+    found = [a.select(id_col).join(b.select(id_col), id_col, "left_anti").withColumn("problem", F.lit(why)) for why, a, b in sides]
+    return found[0].unionByName(found[1])
+
+
+def case_mixture(pairs: DataFrame) -> DataFrame:
+    """category, n, seeds: pairs of each family, and the seeds they were drawn with, sorted."""
+    return pairs.groupBy("category").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("seed")).alias("seeds"))
+
+
 def problems(pairs: DataFrame) -> DataFrame:
     """pair_id, problem: repeated ids, unknown roles and labels outside 0 and 1; empty for a valid set."""
-    twice = pairs.groupBy("pair_id").agg(F.count("*").alias("n")).where("n > 1").select("pair_id", F.lit("repeated pair id").alias("problem"))
+    twice = repeated_ids(pairs).select("pair_id", F.lit("repeated pair id").alias("problem"))
     role = pairs.where(~F.coalesce(F.col("role").isin(*ROLES), F.lit(False))).select("pair_id", F.lit("unknown role").alias("problem"))
     label = pairs.where(~F.coalesce(F.col("label").isin(0, 1), F.lit(False))).select("pair_id", F.lit("label is not 0 or 1").alias("problem"))
     return twice.unionByName(role).unionByName(label)

@@ -152,6 +152,9 @@ def test_measurements(monkeypatch):
         measure.preparation_cost("overlap", [], ["a"], [(0, 0)])
     assert measure.sum_defined([record.Metric(None, "x")]).undefined_reason == "no phase produced a duration"
     assert measure.speedup({"hoisted_p50_seconds": 0.0, "naive_p50_seconds": 1.0}).value is None
+    assert measure.phase_durations({"a": 1.0, "b": 1.5, "c": 4.0}, ("a", "b", "c")) == {"a to b": 0.5, "b to c": 2.5, "total": 3.0}
+    with pytest.raises(ValueError, match="missing checkpoint"):
+        measure.phase_durations({"a": 1.0}, ("a", "b"))
     monkeypatch.setattr(measure.sys, "executable", "false")
     assert isinstance(measure.peak_memory("overlap", "a", "b", "ac"), record.Unavailable)
 

@@ -63,3 +63,23 @@ def test_stream_links_equal_batch_links(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert seen == [r.ordinal for r in best_matches(scored, 0.5).select("l.ordinal").collect()]
+
+
+def test_published_pairs_give_the_published_accuracy(spark):
+    from gridlink.plans import records
+    from gridlink.sources import published
+
+    rows = published.generate(spark, (1, 2)).collect()
+    assert len(rows) == 720 and len({r["pair_id"] for r in rows}) == 720 and corpus.problems(published.generate(spark)).count() == 0
+    assert sorted(map(tuple, rows)) == sorted(x for s in (2, 1) for x in published.draw(s))
+    assert {(r["category"], r["label"]) for r in rows} == {(f.name, f.label) for f in published.FAMILIES}
+    got = {r["arm"]: (r["threshold"], r["f1"]) for r in records.published_accuracy(spark, "").collect()}
+    assert got == {"overlap": (0.5, 0.7207207207), "fuzzy": (0.9333333333, 0.8863636364)}
+
+
+def test_case_mixture_and_coverage(spark):
+    pairs = spark.createDataFrame([("a", "x", 1), ("b", "x", 2), ("b", "y", 2)], "pair_id string, category string, seed int")
+    assert {r["category"]: (r["n"], r["seeds"]) for r in corpus.case_mixture(pairs).collect()} == {"x": (2, [1, 2]), "y": (1, [2])}
+    assert [tuple(r) for r in corpus.repeated_ids(pairs).collect()] == [("b", 2)]
+    roles = spark.createDataFrame([("b",), ("c",)], "pair_id string")
+    assert sorted(tuple(r) for r in corpus.coverage(pairs, roles).collect()) == [("a", "missing"), ("c", "extra")]

@@ -74,6 +74,12 @@ def test_sources_of_one_side_may_share_ordinals(spark):
     assert sorted((r["l"]["source"], r["r"]["source"]) for r in got.pairs.collect()) == [("a", "a"), ("b", "d")]
     assert sorted((r["side"], r["source"], r["reason"]) for r in got.unmatched.collect()) == [("left", "c", rs.NO_COORDINATES), ("right", "e", rs.NOT_SELECTED)]
     assert got.merged.count() == 4
+    plan = got.unmatched._jdf.queryExecution().executedPlan().toString()
+    got.unmatched.collect()
+    final = got.unmatched._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and final.count("ReusedExchange") >= 1  # the grid join runs once
+    before = sorted(map(str, got.merged.collect()))
+    assert sorted(map(str, got.keep().merged.collect())) == before
     got.close()
 
 
