@@ -2,10 +2,11 @@
 
 A record has side, source, ordinal, name, latitude, longitude, fields; (side, source, ordinal) is its key, since both
 sides may carry one source name and a side may have several sources. The grid join is an equi-join on the cell, for
-which the left side's keys, coordinates and prepared names alone are repeated nine times; a dense cell is a skewed key
-that adaptive execution splits. A pair meets at exactly one offset, so nothing is deduplicated. Of each left record's
-candidates only the best one leaves a task, so what is shuffled after the join is bounded by the left side. Whole records
-are joined to the links alone, which pairs, what is left, and the merged view share.
+which the left side's distinct places and names alone are repeated nine times; a dense cell is dealt to several tasks. A
+pair meets at exactly one offset, so nothing is deduplicated. Records of one place and name are compared once. Of the
+candidates of each left place and name only the best one leaves a task, so what is shuffled after the join is bounded by
+the left side. Whole records are joined to the links alone, which pairs, what is left, and the merged view share. No side of these joins
+is bounded, and computed columns make a file look smaller than its rows are: all are merge joins, none is broadcast.
 
 Defined cases: records without both coordinates meet nothing; null names score 0; of equally good candidates the nearer
 one, then the one with the lesser record id; an empty side leaves the other one unmatched; more columns than the named
@@ -25,6 +26,9 @@ from pyspark.sql.window import Window as W
 from gridlink.functions import identity, text
 
 CELL_SIZE = 0.01
+#: What a pair's score and distance are made of.
+PLACED = ("latitude", "longitude", "name")
+SHARES = 4
 # The reasons that results state.
 NO_COORDINATES = "no coordinates: a record without them can never enter a candidate set (FR-3)"
 NO_CANDIDATES = "no candidate record shares its nine-cell grid neighbourhood"
@@ -136,22 +140,49 @@ def best_matches(scored: DataFrame, threshold: float) -> DataFrame:
     return scored.where(matches(F.col("score"), threshold)).withColumn("rank", F.row_number().over(order)).where("rank = 1").drop("rank")
 
 
+def _near(rows: DataFrame) -> DataFrame:
+    """Each row nine times: with the cell it lies in and the eight around it."""
+    offsets = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    rows = rows.withColumn("o", F.explode(offsets))
+    return rows.withColumns({"cell_row": F.col("cell_row") + F.col("o.i"), "cell_col": F.col("cell_col") + F.col("o.j")}).drop("o")
+
+
+def _meet(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
+    """The equi-join on the cell, left's rows at their neighbours too. The rows are few and their pairs are many: the
+    number of tasks is held, and a cell's left rows are dealt to SHARES tasks by their key."""
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    on = ["cell_row", "cell_col", "share"]
+    left = _near(left.withColumn("share", F.pmod(F.xxhash64(*key), F.lit(SHARES)).cast("int"))).repartition(n, *on)
+    right = right.withColumn("share", F.explode(F.array(*map(F.lit, range(SHARES))))).repartition(n, *on)
+    return left.join(right.hint("shuffle_hash"), on).drop(*on)
+
+
 def best_links(left: DataFrame, right: DataFrame, scorer: Scorer, threshold: float, cell_size: float = CELL_SIZE) -> DataFrame:
     """l_source, l_ordinal and, where a candidate meets the threshold, score, distance, r_source, r_ordinal of the best
-    one: a row for each left record that has candidates. Of the records no more than this needs goes through the join."""
-    sides = []
+    one: a row for each left record that has candidates. Records of one place and name are alike in score and distance,
+    so each such class is compared once, the right ones by their least record id; the links are then given to all."""
+    kinds = []
     for side, rows in (("l", left), ("r", right)):
-        rows = with_cell(prepared(with_identity(rows) if side == "r" else rows, scorer), cell_size).where("cell_row IS NOT NULL AND cell_col IS NOT NULL")
-        own = ["source", "ordinal", "latitude", "longitude", "prepared", *(["record_id"] if side == "r" else [])]
-        sides.append(rows.select(*(F.col(c).alias(f"{side}_{c}") for c in own), "cell_row", "cell_col"))
-    offsets = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    near = sides[0].withColumn("o", F.explode(offsets))
-    near = near.withColumns({"cell_row": F.col("cell_row") + F.col("o.i"), "cell_col": F.col("cell_col") + F.col("o.j")}).drop("o")
-    pairs = near.join(sides[1], ["cell_row", "cell_col"]).withColumn("score", scorer.score(F.col("l_prepared"), F.col("r_prepared")))
+        rows = rows.where(identity.has_coordinates(F.col("latitude"), F.col("longitude")))
+        if side == "r":
+            rows = with_identity(rows).groupBy(*PLACED).agg(F.min(F.struct(F.col("record_id").alias("id"), "source", "ordinal")).alias("first"))
+        else:
+            rows = rows.select(*PLACED).distinct()
+        rows = with_cell(prepared(rows, scorer), cell_size).where("cell_row IS NOT NULL AND cell_col IS NOT NULL")
+        kinds.append(rows.select(*(F.col(c).alias(f"{side}_{c}") for c in (*PLACED, "prepared")), *(["first"] if side == "r" else []), "cell_row", "cell_col"))
+    key = [f"l_{c}" for c in PLACED]
+    pairs = _meet(*kinds, key).withColumn("score", scorer.score(F.col("l_prepared"), F.col("r_prepared")))
     distance = identity.haversine_km(*(F.col(c) for c in ("l_latitude", "l_longitude", "r_latitude", "r_longitude")))
-    ranked = F.struct((-F.col("score")).alias("down"), distance.alias("distance"), F.col("r_record_id").alias("id"), F.col("r_source").alias("source"), F.col("r_ordinal").alias("ordinal"))
-    best = pairs.groupBy("l_source", "l_ordinal").agg(F.min(F.when(matches(F.col("score"), threshold), ranked)).alias("best"))
-    return best.select("l_source", "l_ordinal", (-F.col("best.down")).alias("score"), "best.distance", F.col("best.source").alias("r_source"), F.col("best.ordinal").alias("r_ordinal"))
+    ranked = F.struct((-F.col("score")).alias("down"), distance.alias("distance"), F.col("first.id").alias("id"), F.col("first.source").alias("source"), F.col("first.ordinal").alias("ordinal"))
+    best = pairs.where(matches(F.col("score"), threshold)).groupBy(*key).agg(F.min(ranked).alias("best"))
+    reach = _near(kinds[1].select("cell_row", "cell_col").distinct()).distinct()
+    met = kinds[0].join(reach.hint("merge"), ["cell_row", "cell_col"], "left_semi").select(*(F.col(c).alias(f"m_{c[2:]}") for c in key))
+
+    def same(one: str, other: str) -> Column:
+        return (F.col(f"{one}latitude") == F.col(f"{other}latitude")) & (F.col(f"{one}longitude") == F.col(f"{other}longitude")) & F.col(f"{one}name").eqNullSafe(F.col(f"{other}name"))
+
+    of = left.select("source", "ordinal", *PLACED).join(met.join(best.hint("merge"), same("m_", "l_"), "left").hint("merge"), same("", "m_"))
+    return of.select(F.col("source").alias("l_source"), F.col("ordinal").alias("l_ordinal"), (-F.col("best.down")).alias("score"), "best.distance", F.col("best.source").alias("r_source"), F.col("best.ordinal").alias("r_ordinal"))
 
 
 def merged(l: Column, r: Column) -> Column:  # noqa: E741
@@ -206,12 +237,12 @@ def resolve(left: DataFrame, right: DataFrame, scorer: Scorer, threshold: float,
     left, right = left.select(*RECORD), right.select(*RECORD)
     found = links.where("r_ordinal IS NOT NULL")
     wide = [with_identity(rows).select(F.struct(*RECORD, "record_id").alias(side), F.col("source").alias(f"{side}_source"), F.col("ordinal").alias(f"{side}_ordinal")) for side, rows in (("l", left), ("r", right))]
-    pairs = found.join(wide[0], ["l_source", "l_ordinal"]).join(wide[1], ["r_source", "r_ordinal"]).select("l", "r", "score", "distance")
+    pairs = found.join(wide[0].hint("merge"), ["l_source", "l_ordinal"]).join(wide[1].hint("merge"), ["r_source", "r_ordinal"]).select("l", "r", "score", "distance")
     pairs = pairs.withColumn("merged", merged(F.col("l"), F.col("r")))
     coords = identity.has_coordinates(F.col("latitude"), F.col("longitude"))
     met = links.select(F.col("l_source").alias("source"), F.col("l_ordinal").alias("ordinal"), F.col("r_ordinal").isNotNull().alias("matched"))
-    lefts = left.join(met, ["source", "ordinal"], "left").where(~F.coalesce("matched", F.lit(False)))
+    lefts = left.join(met.hint("merge"), ["source", "ordinal"], "left").where(~F.coalesce("matched", F.lit(False)))
     lefts = lefts.withColumn("reason", F.when(~coords, NO_COORDINATES).when(F.col("matched").isNull(), NO_CANDIDATES).otherwise(BELOW_THRESHOLD))
     taken = found.select(F.col("r_source").alias("source"), F.col("r_ordinal").alias("ordinal")).distinct()
-    rights = right.join(taken, ["source", "ordinal"], "left_anti").withColumn("reason", F.when(coords, NOT_SELECTED).otherwise(NO_COORDINATES))
+    rights = right.join(taken.hint("merge"), ["source", "ordinal"], "left_anti").withColumn("reason", F.when(coords, NOT_SELECTED).otherwise(NO_COORDINATES))
     return Resolution(pairs, lefts.select(*RECORD, "reason").unionByName(rights.select(*RECORD, "reason")), bucket_occupancy(right, cell_size), links)
