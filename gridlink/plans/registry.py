@@ -73,7 +73,7 @@ def join_unmatched(spark, sf_dir) -> DataFrame:
 def join_semi_matched(spark, sf_dir) -> DataFrame:
     left, right = fx.sides(spark, sf_dir)
     best = _resolution(spark, sf_dir).pairs.select(F.col("r.ordinal").alias("ordinal"))
-    return right.join(best, "ordinal", "left_semi").select("ordinal")
+    return right.join(best.hint("merge"), "ordinal", "left_semi").select("ordinal")
 
 
 @query(f"WITH {_BEST}, used AS (SELECT ordinal, side FROM ids WHERE (side = 'left' AND ordinal IN (SELECT lo FROM best)) OR (side = 'right' AND ordinal IN (SELECT ro FROM best))) SELECT (SELECT count(*) FROM best) + (SELECT count(*) FROM ids) - (SELECT count(*) FROM used) AS n")
