@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from gridlink.operators import resolve as rs
 
 SCHEMA = "side string, source string, ordinal long, name string, latitude double, longitude double, fields map<string,string>"
-QUERIES = ["join_unmatched", "join_unmatched_sources", "set_merged", "prj_merged_view", "join_semi_matched", "prj_merge", "resolve"]
+QUERIES = ["join_unmatched", "join_unmatched_sources", "set_merged", "prj_merged_view", "join_semi_matched", "prj_merge", "resolve", "resolve_sources"]
 
 
 @pytest.fixture(scope="module")
