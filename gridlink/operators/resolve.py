@@ -29,6 +29,7 @@ CELL_SIZE = 0.01
 #: What a pair's score and distance are made of.
 PLACED = ("latitude", "longitude", "name")
 SHARES = 4
+GROUP = 1024
 # The reasons that results state.
 NO_COORDINATES = "no coordinates: a record without them can never enter a candidate set (FR-3)"
 NO_CANDIDATES = "no candidate record shares its nine-cell grid neighbourhood"
@@ -185,6 +186,23 @@ def best_links(left: DataFrame, right: DataFrame, scorer: Scorer, threshold: flo
     return of.select(F.col("source").alias("l_source"), F.col("ordinal").alias("l_ordinal"), (-F.col("best.down")).alias("score"), "best.distance", F.col("best.source").alias("r_source"), F.col("best.ordinal").alias("r_ordinal"))
 
 
+def candidate_scores(left: DataFrame, right: DataFrame, score: Callable[[Column, Column], Column], cell_size: float = CELL_SIZE) -> DataFrame:
+    """l and r, the (source, ordinal) of every candidate pair, and the score of their names, which is computed once for
+    each two names of two cells and given to all pairs of their records. What shares a cell and a name goes through the
+    join in groups of about GROUP records."""
+    groups = []
+    for side, rows in (("l", left), ("r", right)):
+        rows = with_cell(rows, cell_size).where("cell_row IS NOT NULL AND cell_col IS NOT NULL").select(F.struct("source", "ordinal").alias("key"), "name", "cell_row", "cell_col")
+        many = rows.groupBy("cell_row", "cell_col", "name").agg(F.count("*").alias("n")).where(F.col("n") > GROUP)
+        many = many.select(F.col("cell_row").alias("i"), F.col("cell_col").alias("j"), F.col("name").alias("of"), F.ceil(F.col("n") / GROUP).alias("parts"))
+        rows = rows.join(many.hint("merge"), (F.col("cell_row") == F.col("i")) & (F.col("cell_col") == F.col("j")) & F.col("name").eqNullSafe(F.col("of")), "left")
+        rows = rows.withColumn("part", F.pmod(F.xxhash64("key"), F.coalesce("parts", F.lit(1))))
+        rows = rows.groupBy("cell_row", "cell_col", "name", "part").agg(F.collect_list("key").alias("keys"))
+        groups.append(rows.select("cell_row", "cell_col", *(F.col(c).alias(f"{side}_{c}") for c in ("name", "part", "keys"))))
+    pairs = _meet(*groups, ["l_name", "l_part"]).select("l_keys", "r_keys", score(F.col("l_name"), F.col("r_name")).alias("score"))
+    return pairs.select(F.explode("l_keys").alias("l"), "r_keys", "score").select("l", F.explode("r_keys").alias("r"), "score")
+
+
 def merged(l: Column, r: Column) -> Column:  # noqa: E741
     """The better filled record's values first; of equally filled ones the lesser id's. Both sides' sources."""
     fill = [identity.populatedness(x["fields"], x["name"], x["latitude"], x["longitude"]) for x in (l, r)]

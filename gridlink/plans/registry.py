@@ -99,8 +99,8 @@ def geo_haversine(spark, sf_dir) -> DataFrame:
 def udf_prep_paths(spark, sf_dir) -> DataFrame:
     """The naive path: names prepared in the comparison itself; equal to the hoisted one."""
     left, right = fx.sides(spark, sf_dir)
-    score = text.overlap(text.tokens(F.col("l.name")), text.tokens(F.col("r.name")))
-    return rs.candidate_pairs(left, right, fx.CELL).select(F.col("l.ordinal").alias("left_ordinal"), F.col("r.ordinal").alias("right_ordinal"), score.alias("score"))
+    rows = rs.candidate_scores(left, right, lambda a, b: text.overlap(text.tokens(a), text.tokens(b)), fx.CELL)
+    return rows.select(F.col("l.ordinal").alias("left_ordinal"), F.col("r.ordinal").alias("right_ordinal"), "score")
 
 
 def _records_query(name: str, sql: str, *columns):

@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from gridlink.operators import resolve as rs
 
 SCHEMA = "side string, source string, ordinal long, name string, latitude double, longitude double, fields map<string,string>"
-QUERIES = ["join_unmatched", "join_unmatched_sources", "set_merged", "prj_merged_view", "join_semi_matched", "prj_merge", "resolve", "resolve_sources"]
+QUERIES = ["join_unmatched", "join_unmatched_sources", "set_merged", "prj_merged_view", "join_semi_matched", "prj_merge", "resolve", "resolve_sources", "udf_prep_paths"]
 
 
 @pytest.fixture(scope="module")
@@ -56,3 +56,13 @@ def test_alike_records_are_compared_once(spark):
     least = min((r["record_id"], r["ordinal"]) for r in rs.with_identity(right).collect())[1]
     assert sorted((r["l_ordinal"], r["r_ordinal"]) for r in links) == [(i, least) for i in range(200)]
     assert 1 <= calls.value <= 2  # not 40,000
+
+
+@pytest.mark.parametrize("group", [1024, 7])
+def test_names_are_compared_once_for_all_pairs(spark, monkeypatch, group):
+    monkeypatch.setattr(rs, "GROUP", group)
+    score, calls = _counted(spark)
+    left, right = _alike(spark, "left", 60), _alike(spark, "right", 50).withColumn("name", F.when(F.col("ordinal") > 9, "a"))
+    rows = rs.candidate_scores(left, right, score).select("l.ordinal", F.col("r.ordinal").alias("other"), "score").collect()
+    assert sorted(map(tuple, rows)) == [(i, j, float(j > 9)) for i in range(60) for j in range(50)]
+    assert calls.value <= (2 if group == 1024 else 9 * (6 + 2))  # not 3,000
