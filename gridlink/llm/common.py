@@ -90,11 +90,11 @@ def arrow_of(schema: str) -> pa.Schema:
     return to_arrow_schema(T._parse_datatype_string(schema))
 
 
-def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The batch in parts of at most SLICE_BYTES of text, or of one row."""
+def slices(batch: pa.RecordBatch, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most size bytes of text, or of one row."""
     wide = [c for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type)]
     rows = batch.num_rows
-    if not wide or sum(c.nbytes for c in wide) <= SLICE_BYTES:
+    if not wide or sum(c.nbytes for c in wide) <= size:
         yield batch
         return
     sizes = [0] * rows
@@ -103,15 +103,15 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             sizes[i] += v or 0
     start, total = 0, 0
     for i, v in enumerate(sizes):
-        if total + v > SLICE_BYTES and i > start:
+        if total + v > size and i > start:
             yield batch.slice(start, i - start)
             start, total = i, 0
         total += v
     yield batch.slice(start)
 
 
-def map_columns(df: DataFrame, make: Callable[[], Callable[..., dict]], schema: str | T.StructType) -> DataFrame:
-    """mapInArrow over slices of bounded bytes. make() runs once in each task and returns the function that
+def map_columns(df: DataFrame, make: Callable[[], Callable[..., dict]], schema: str | T.StructType, size: int = SLICE_BYTES) -> DataFrame:
+    """mapInArrow over slices of at most size bytes of text. make() runs once in each task and returns the function that
     takes the columns as Python lists and returns the result's columns, as lists or arrays."""
     kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(kind)
@@ -121,7 +121,7 @@ def map_columns(df: DataFrame, make: Callable[[], Callable[..., dict]], schema:
 
         call = make()
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size):
                 if part.num_rows:
                     got = call(*(c.to_pylist() for c in part.columns))
                     yield pa.RecordBatch.from_arrays([got[f.name].cast(f.type) if isinstance(got[f.name], pa.Array) else pa.array(got[f.name], f.type) for f in arrow], schema=arrow)

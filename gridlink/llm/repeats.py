@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from gridlink.llm.common import cut, drop, map_columns, release, table
 
 LENGTH, GRAM, BATCHES = 200, 100, 3
+#: Bytes of text that are hashed at once; a call holds up to a hundred times as much in arrays of 8 bytes a place.
+SLICE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bits of a place within a slice of texts, as many as any string can need; the bits above rank anchors, alike in all slices.
@@ -38,7 +40,7 @@ _POWERS: list[np.ndarray] = []
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
-        steps = np.full((2, max(n, 1 << 20)), [[_BASE], [_INVERSE]], np.uint64)
+        steps = np.full((2, max(n, SLICE + 1)), [[_BASE], [_INVERSE]], np.uint64)
         steps[:, 0] = 1
         _POWERS[:] = list(np.cumprod(steps, axis=1, dtype=np.uint64))
     return _POWERS[0][:n], _POWERS[1][:n]
@@ -177,7 +179,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: i
     family = IndexFamily(docs.sparkSession)
     for k in range(batches):
         batch = docs.where(F.pmod(F.col("t2"), F.lit(batches)) == k) if batches > 1 else docs
-        family.append(map_columns(batch, _entry_maker(length, gram), _ENTRY))
+        family.append(map_columns(batch, _entry_maker(length, gram), _ENTRY, SLICE))
     family.close()
     found, todo = family.found[0], family.open[0]
     for x in family.found[1:]:
@@ -187,7 +189,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: i
     todo = todo.distinct().groupBy("t1", "t2").agg(F.collect_list(F.struct("lo", "n", "c")).alias("list"))  # no more than a text's own anchors
     # copies of a text have one key; one of them will do
     texts = docs.join(todo, ["t1", "t2"]).dropDuplicates(["t1", "t2"]).select("t1", "t2", "text", "list")
-    windows = cut(map_columns(texts, _window_maker(length), "c int, h long, t1 long, t2 int, lo int"), "windows")
+    windows = cut(map_columns(texts, _window_maker(length), "c int, h long, t1 long, t2 int, lo int", SLICE), "windows")
     release(docs.sparkSession)
     # windows are told apart by 96 bits: their own hash and a part of that of their anchor's k bytes
     twice = cut(windows.groupBy("c", "h").agg(F.count("*").alias("k")).where("k > 1").select("c", "h"), "twice")
@@ -232,7 +234,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     runs = repeated(keyed.select("t1", "t2", "text"), length, gram, batches)
     by_text = cut(runs.groupBy("t1", "t2").agg(F.collect_set(F.shiftleft(F.col("lo").cast("long"), 16).bitwiseOR(F.col("n").cast("long"))).alias("runs")), "runs")
     whole = keyed.join(by_text, ["t1", "t2"], "left").select("doc_id", "text", "runs")
-    return map_columns(whole, _cutter(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>")
+    return map_columns(whole, _cutter(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>", SLICE)
 
 
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -268,6 +268,34 @@ def test_repeats_merge_levels(spark, monkeypatch):
     assert got[0] == got[1] and all(r[2] >= len(shared) for r in got[0])
 
 
+def test_repeats_hashes_bounded_parts(spark, monkeypatch):
+    """A partition of 4 MB of text is hashed in parts whose arrays stay small."""
+    over, calls, maker = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0), repeats._entry_maker
+
+    def traced_maker(length, gram):
+        def make():
+            call = maker(length, gram)()
+
+            def traced(*columns):
+                import tracemalloc
+
+                tracemalloc.start()
+                got = call(*columns)
+                over.add(int(tracemalloc.get_traced_memory()[1] > 128 << 20))
+                tracemalloc.stop()
+                calls.add(1)
+                return got
+
+            return traced
+
+        return make
+
+    monkeypatch.setattr(repeats, "_entry_maker", traced_maker)
+    docs = spark.range(1024).coalesce(1).selectExpr("id t1", "cast(id as int) t2", "array_join(transform(sequence(1, 63), i -> sha2(concat_ws(' ', id, i), 256)), '') text")
+    assert repeats.repeated(docs, batches=1).count() == 0
+    assert calls.value >= 4 and over.value == 0
+
+
 def test_warc_rejects_records_in_payloads(spark):
     fake = "WARC/1.0\r\nWARC-Type: response\r\nX-Page-ID: 999\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
     rows = [(1, "http://a", "x"), (2, "http://b", fake * 3), (3, None, None), (4, "u WARC/1.0", "WARC/1.0\r\n" * 9), (6, "http://a", "x"), (None, "z", "x"), (7, "q", "")]
